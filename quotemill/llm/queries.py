@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import leaks, packing, pairs, reading, splits, splitting
+from quotemill.llm import leaks, packing, pairs, reading, scans, splits, splitting
 from quotemill.session import table
 
 
@@ -27,6 +27,14 @@ def _p4_splits(s: SparkSession, d: str) -> DataFrame:
     return splits.split_examples(table(s, d, "examples"))
 
 
+def _p5_found(s: SparkSession, d: str) -> DataFrame:
+    return scans.find_noise(table(s, d, "examples"))
+
+
+def _p5_repair(s: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(s, d, "examples"))
+
+
 def _p6_found(s: SparkSession, d: str) -> DataFrame:
     return pairs.flag_pairs(table(s, d, "predictions"))
 
@@ -52,7 +60,7 @@ def _p9_levels(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p4_found": _p4_found, "p4_splits": _p4_splits, "p6_found": _p6_found,
+    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p4_found": _p4_found, "p4_splits": _p4_splits, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
     "p7_found": _p7_found, "p7_fill": _p7_fill, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels,
 }
 

@@ -156,7 +156,7 @@ def assign_splits(records: DataFrame, component: str, labels: Sequence[Column],
     wanted = [{label: n * p for label, n in totals.items()} for p in proportions]
     big = sized.where(F.col("size") * giants >= rows).select("component", "label", "n")
     schema = "component string, split string, label string, n long"
-    first = cut(big.groupBy(F.lit(0)).applyInPandas(lambda pdf: _stratified(pdf, [dict(w) for w in wanted]), schema))
+    first = cut(big.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _stratified(pdf, [dict(w) for w in wanted]), schema))
     for r in first.groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
         wanted[SPLITS.index(r["split"])][r["label"]] -= r["n"]
     shards = max(1, int(rows // shard_rows))
