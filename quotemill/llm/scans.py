@@ -27,15 +27,16 @@ from quotemill.llm.textkit import VOTES
 CONFUSIONS = (("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("6", "b"), ("6", "g"), ("9", "g"), ("8", "b"), ("@", "a"), ("c", "e"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("l", "i"), ("i", "l"))
 HYPHENS = "-‐‑¬\xad"
 
-_LINES = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
-_BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][ \t]*(?:\r\n|[\n\r\v\f\x85  ])\s*(?=\w)")
+_LINES = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
+_BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])\s*(?=\w)")
 _EDGES = re.compile(r"^[^\w@]+|[^\w@]+$")
-_INNER = re.compile(rf"['’–—/{HYPHENS}]")
+_INNER = re.compile(rf"[{HYPHENS}'’–—/]")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _PAGE = re.compile(r"^[\W_]*(?:([^\W\d_@]{1,7})[.:]?\s+|)(\d{1,4}|[ivxlc]{1,7})(?:\s*(?:/|of|sur|von|de|di|aus)\s*\d{1,4})?[\W_]*$", re.I)
 _WITH_NUMBER = re.compile(r"^\s*(?:(\d{1,4}|[ivxlc]{1,7})\s{2,}(\S.*?)|(\S.*?)(?:\s+[–—-]\s+|\s{2,})(\d{1,4}|[ivxlc]{1,7}))\s*$")
 _PAGE_WORDS = ("page", "seite", "pagina", "p", "s", "pag")
 _SMALL = frozenset("and of the und der die das y e de del la el los las et du des le les in on for zu von a an al".split())
+_JOINING = frozenset("and und y e et &".split())
 _FOLD = str.maketrans("0156@98c", "olsbagbe")
 _STOP = re.compile(r"[.!?…。！？:][\"'”’»)\]]*$")
 _TABLE = re.compile(r"\|")
@@ -102,7 +103,7 @@ def split_number(line: str, page: int | None) -> tuple[str, bool]:
 
 def is_title(line: str, key: str | None) -> bool:
     """Whether a line is the title that the document's name begins with."""
-    if not key or not 6 <= len(line) <= 90 or line.endswith((".", ",", ";")):
+    if not key or not 6 <= len(line) <= 90 or line.endswith((".", ",", ";")) or any(w[0].islower() for w in line.split() if len(w) > 3):
         return False
     a = fold(line)
     b = fold(key)[: len(a)]
@@ -114,10 +115,10 @@ def looks_like_chapter(line: str) -> bool:
     if len(line) > 60 or not line or not line[-1].isalpha() and line[-1] not in "015@69" or any(c in line for c in ",;:|()[]„“\""):
         return False
     words = line.split()
-    if not 2 <= len(words) <= 7:
+    if not 3 <= len(words) <= 7 or "." in line:
         return False
-    big = [w for w in words if w.casefold().translate(_FOLD) not in _SMALL and fold(w) not in ("and", "und")]
-    return len(big) >= 2 and all(w[0].isupper() or w[0] in "015@69" and w[1:2].isalpha() for w in big) and not any(c.isdigit() for w in words for c in w if w.isdigit()) and len(words) > len(big)
+    big = [w for w in words if w.casefold().translate(_FOLD) not in _JOINING and fold(w) not in ("and", "und")]
+    return len(big) == len(words) - 1 and len(big) >= 2 and all((w[0].isupper() or w[0] in "015@69" and w[1:2].isalpha()) and w.casefold() not in _SMALL for w in big)
 
 
 def page_of(page: object, layout: object) -> int | None:
@@ -128,14 +129,13 @@ def page_of(page: object, layout: object) -> int | None:
 
 
 def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
-    """Per quote: the noise that can be seen within its example, its chapter-like lines, and its text without headers and page numbers."""
+    """Per quote: the noise that can be seen within its example, and its text without headers and page numbers."""
     key = document_key(name)
     out = []
     for q in quotes:
         text = q["text"] or ""
         page = page_of(q["page_id"], q["layout_id"])
         found: set[str] = set()
-        chapters: list[str] = []
         lines = _LINES.split(text)
         kept = lines
         if len(lines) > 1 or len(text) < 100:
@@ -145,8 +145,7 @@ def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
                 if not bare or len(bare) > 90 or _TABLE.search(bare):
                     kept.append(line)
                     continue
-                edge = i in (0, 1, len(lines) - 1)
-                if is_page_number(bare, page) and (page is not None or edge):
+                if is_page_number(bare, page) and (page is not None or i in (0, 1, len(lines) - 1)):
                     found.add("pageno")
                     continue
                 rest, numbered = split_number(line, page)
@@ -155,19 +154,16 @@ def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
                     if numbered:
                         found.add("pageno")
                     continue
-                if looks_like_chapter(rest) and not _HEADING.match(rest):
-                    chapters.append(fold(rest))
-                    if numbered or edge or len(line) - len(line.lstrip()) > 2:
-                        found.add("header")
-                        if numbered:
-                            found.add("pageno")
-                        continue
-                    chapters[-1] = "?" + chapters[-1]
+                if looks_like_chapter(rest):
+                    found.add("header")
+                    if numbered:
+                        found.add("pageno")
+                    continue
                 kept.append(line)
         clean = "\n".join(kept)
         if _BROKEN.search(clean):
             found.add("hyphen")
-        out.append({"quote_id": q["quote_id"], "page": page, "layout": q["layout_id"], "found": found, "chapters": chapters, "clean": clean})
+        out.append({"quote_id": q["quote_id"], "page": page, "layout": q["layout_id"], "found": found, "clean": clean})
     order = sorted(range(len(out)), key=lambda i: (out[i]["page"] is None, out[i]["page"] or 0, out[i]["layout"] is None, out[i]["layout"] or 0, i))
     for a, b in zip(order, order[1:]):
         if goes_on(out[a]["clean"], out[b]["clean"]):
@@ -256,7 +252,7 @@ def corrections(counts: DataFrame, frequent: int = 10, ratio: float = 8.0) -> Da
             yield pd.DataFrame({"hash": pdf["word"].map(anagram_hash), "target": pdf["word"], "m": pdf["n"]})
 
     whole = counts.where((F.col("n") >= frequent) & F.col("word").rlike(r"^\p{L}{3,}$")).mapInPandas(hashed, "hash long, target string, m long")
-    rare = counts.where(F.col("word").rlike(r"[\p{L}]") & ~F.col("word").rlike(r"^[a-z]{1,3}\d+$|^\d+\p{L}{1,3}$")).mapInPandas(spread, "word string, n long, hash long, confusions string")
+    rare = counts.where(F.col("word").rlike(r"[\p{L}]")).mapInPandas(spread, "word string, n long, hash long, confusions string")
     fits = F.udf(undone, "boolean")
     both = rare.join(whole, "hash").where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("target")))
     both = both.where(fits("word", "target", "confusions"))
