@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: what counts as white space.
-WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def collapse(c: Column) -> Column:
