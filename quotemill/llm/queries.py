@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import leaks, packing, pairs, reading, scans, splits, splitting
+from quotemill.llm import leaks, packing, pairs, percentiles, reading, scans, splits, splitting
 from quotemill.session import table
 
 
@@ -19,6 +19,15 @@ def _p2_pieces(s: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(splitting.quotes(table(s, d, "examples")).select("example_no", "quote_id", "text"))
 
 
+def _p3_percentiles(s: SparkSession, d: str) -> DataFrame:
+    times = percentiles.percentiles(table(s, d, "timings"), table(s, d, "summaries"))
+    return times.where(F.col("p").isin(*percentiles.PERCENTILES)).select("pruning_mode", "day", "metric", "n", "p", "value")
+
+
+def _p3_combined(s: SparkSession, d: str) -> DataFrame:
+    return percentiles.combine(percentiles.percentiles(table(s, d, "timings"), table(s, d, "summaries")), "pruning_mode", "metric")
+
+
 def _p4_found(s: SparkSession, d: str) -> DataFrame:
     return splits.same_documents(table(s, d, "examples"))
 
@@ -60,10 +69,15 @@ def _p9_levels(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p4_found": _p4_found, "p4_splits": _p4_splits, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
+    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p3_percentiles": _p3_percentiles, "p3_combined": _p3_combined, "p4_found": _p4_found, "p4_splits": _p4_splits, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
     "p7_found": _p7_found, "p7_fill": _p7_fill, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels,
 }
 
 SQL: dict[str, str] = {
+    "p3_percentiles": """WITH o AS (SELECT timing_id, arg_max(run_id, received_at) AS run_id, arg_max(started_at, received_at)::DATE AS day, arg_max(timing, received_at) AS t FROM timings GROUP BY timing_id),
+m AS (SELECT run_id, nullif(regexp_replace(lower(trim(pruning_mode)), '[\\s-]+', '_', 'g'), '') AS mode FROM summaries),
+v AS (SELECT coalesce(mode, 'unknown') AS pruning_mode, day, unnest(['ttft_sec', 'total_sec']) AS metric, unnest([t.ttft_sec, t.total_sec]) AS v FROM o LEFT JOIN m USING (run_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY pruning_mode, day, metric ORDER BY v) AS rk, count(*) OVER (PARTITION BY pruning_mode, day, metric) AS n FROM v WHERE v > 0 AND NOT isnan(v) AND v < 'infinity'::DOUBLE)
+SELECT pruning_mode, day, metric, n, p, v AS value FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p) WHERE rk = greatest(1, ceil(p * n - 1e-9))""",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
 }
