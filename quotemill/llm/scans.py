@@ -244,14 +244,14 @@ def corrections(counts: DataFrame, frequent: int = 10, ratio: float = 8.0) -> Da
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, n, h, c) for w, n in zip(pdf["word"], pdf["n"]) if 3 <= len(w) <= 30 for h, c in _deltas(w)]
+            rows = [(w, n, h, c) for w, n in zip(pdf["word"], pdf["n"]) if len(w) <= 30 for h, c in _deltas(w)]
             yield pd.DataFrame(rows, columns=["word", "n", "hash", "confusions"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"hash": pdf["word"].map(anagram_hash), "target": pdf["word"], "m": pdf["n"]})
 
-    whole = counts.where((F.col("n") >= frequent) & F.col("word").rlike(r"^\p{L}{3,}$")).mapInPandas(hashed, "hash long, target string, m long")
+    whole = counts.where((F.col("n") >= frequent) & F.col("word").rlike(r"^\p{L}{2,}$")).mapInPandas(hashed, "hash long, target string, m long")
     rare = counts.where(F.col("word").rlike(r"[\p{L}]")).mapInPandas(spread, "word string, n long, hash long, confusions string")
     fits = F.udf(undone, "boolean")
     both = rare.join(whole, "hash").where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("target")))
@@ -268,16 +268,16 @@ def mixed(word: str) -> bool:
     return bool(_MIXED.match(word)) and len(word) >= 4 and sum(c.isalpha() for c in word) >= 3 and not re.match(r"^(?:[^\W\d_]{1,3}\d+|\d+[^\W\d_]{1,3}|\d{2,}.*)$", word)
 
 
-def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name") -> DataFrame:
+def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `quote_id`, `noise`), one row per quote and kind of noise.
 
     Null quotes and texts have none. The corrections go to the workers as a set of words if they are at most
-    `2_000_000`; beyond that the words of the quotes are joined with them.
+    `most`; beyond that the words of the quotes are joined with them.
     """
     fixes = corrections(word_counts(examples, quotes)).select("word")
     spark = examples.sparkSession
-    few = [r[0] for r in fixes.limit(2_000_001).toLocalIterator()]
-    known = spark.sparkContext.broadcast(frozenset(few) if len(few) <= 2_000_000 else None)
+    few = [r[0] for r in fixes.limit(most + 1).toLocalIterator()]
+    known = spark.sparkContext.broadcast(frozenset(few) if len(few) <= most else None)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad = known.value
@@ -287,7 +287,7 @@ def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "do
             if token not in memo:
                 if len(memo) > 500_000:
                     memo.clear()
-                memo[token] = len(token) < 60 and any(w in bad or mixed(w) for w in words_in(token))
+                memo[token] = len(token) < 60 and any(mixed(w) or bad is not None and w in bad for w in words_in(token))
             return memo[token]
 
         for pdf in batches:
@@ -296,7 +296,7 @@ def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "do
                 own = [{"quote_id": q["quote_id"], "text": q["text"], "page_id": q["page_id"], "layout_id": q["layout_id"]} for q in quotes_ if q is not None]
                 for q, r in zip(own, read_quotes(own, doc)):
                     text = q["text"] or ""
-                    if bad is not None and any(map(misread, _BROKEN.sub("", text).split())):
+                    if any(map(misread, _BROKEN.sub("", text).split())):
                         r["found"].add("misread")
                     rows += [(number, q["quote_id"], k) for k in r["found"]]
             yield pd.DataFrame(rows, columns=["example_no", "quote_id", "noise"])
@@ -304,14 +304,23 @@ def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "do
     source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"))
     out = source.mapInPandas(read, "example_no long, quote_id string, noise string")
     if known.value is None:
-        words = source.select("e", F.explode("q").alias("q")).select("e", "q.quote_id", F.explode(F.array_distinct(F.split(F.lower("q.text"), r"[^\p{L}\p{N}@]+"))).alias("word"))
-        out = out.unionByName(words.join(fixes, "word").select(F.col("e").alias("example_no"), "quote_id", F.lit("misread").alias("noise")))
+
+        def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [(e, q["quote_id"], w) for e, qs in zip(pdf["e"], pdf["q"]) for q in qs if q is not None and q["text"] for w in {w for t in _BROKEN.sub("", q["text"]).split() if len(t) < 60 for w in words_in(t)}]
+                yield pd.DataFrame(rows, columns=["example_no", "quote_id", "word"])
+
+        words = source.select("e", "q").mapInPandas(spell, "example_no long, quote_id string, word string")
+        out = out.unionByName(words.join(fixes, "word").select("example_no", "quote_id", F.lit("misread").alias("noise")))
     return out.distinct()
 
 
-def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name") -> DataFrame:
+def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `text`): the quotes of each example in the order of page and layout as continuous paragraphs, headers and page numbers out, broken words and sentences joined, misread words corrected."""
-    table = dict(corrections(word_counts(examples, quotes)).toLocalIterator())
+    fixes = corrections(word_counts(examples, quotes)).limit(most + 1).toLocalIterator()
+    table = {r["word"]: r["target"] for r in fixes}
+    if len(table) > most:
+        raise ValueError("more misread words than may go to a worker; raise `most` with the workers' memory")
     known = examples.sparkSession.sparkContext.broadcast(table)
 
     def fixed(token: str) -> str:

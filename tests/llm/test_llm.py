@@ -148,6 +148,7 @@ def test_scan_noise(spark):
     rows = [(1, "ularithorn_field_manual_2015_0000000.pdf", [("t1", text1, 9, 901), ("t2", "Page 10 of 20\nboats were there.", 10, 1001), ("t3", None, None, None)]), (2, None, None)]
     df = spark.createDataFrame(rows, "example_no long, doc_name string, text_quotes array<struct<quote_id:string,text:string,page_id:long,layout_id:long>>")
     assert {tuple(r) for r in scans.find_noise(df).collect()} == {(1, "t1", "header"), (1, "t1", "hyphen"), (1, "t1", "continues"), (1, "t2", "pageno")}
+    assert scans.find_noise(df, most=-1).exceptAll(scans.find_noise(df)).count() == 0
     assert scans.repair(df).where("example_no = 1").first()["text"] == "The garden was open and the boats were there."
 
 
