@@ -122,3 +122,15 @@ def test_nested_children(spark):
     assert got == {(0, 0, *x) for x in first} | {(1, 0, *x) for x in first} | {(1, 2, "image", 0, -1, "i2"), (1, 2, "tile", 0, 0, "i2")}
     assert nested.child_index(df.limit(0)).count() == 0
     assert set(nested.subtype_tables(nested.flatten_lines(df))) == {"image", "tile", "timing", "metric"}
+
+
+def test_requests(spark):
+    from quotemill.operators import request
+    from quotemill.sources import telemetry
+
+    df = spark.sql("select array(named_struct('quote_id', 'a', 'visual_pruning', named_struct('keep_indices', array(1, 2))), named_struct('quote_id', 'b', 'visual_pruning', null)) i, array('QQ', null) e")
+    r = df.select(request.request_extras("model_internal_visual_pruning", 0.5, F.col("i")).alias("x"), request.message_parts(F.lit("hi"), F.col("e")).alias("m"), F.size(request.visual_meta(F.col("i"))).alias("n")).first()
+    assert r["x"]["image_keep_indices"] == [[1, 2]] and r["x"]["image_keep_ratio"] == 0.5 and [p["type"] for p in r["m"]] == ["text", "image_url"] and r["n"] == 1
+    for image, n, kept, want in ((False, 4, [1], "missing_image"), (True, 5, [1], "non_square_patch_grid"), (True, 9, [], "empty_keep_indices"), (True, 9, [1], "applied")):
+        assert one(spark, request.probe_outcome(F.col("a"), F.col("n"), F.col("k")), a=image, n=n, k=kept) == want
+    assert telemetry.host_memory(spark).first()["total_gib"] > 0
