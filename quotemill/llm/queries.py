@@ -73,7 +73,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": _p7_found, "p7_fill": _p7_fill, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels,
 }
 
+_WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _longest(c: str) -> str:
+    return f"list_max(list_transform(string_split({c}, chr(1)), lambda s: length(regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g'))))"
+
+
 SQL: dict[str, str] = {
+    "p2_found": rf"""WITH t AS (SELECT example_no, q.quote_id AS quote_id, q.text AS text FROM (SELECT example_no, unnest(text_quotes) AS q FROM examples) WHERE length(q.text) > 1500),
+p AS (SELECT *, regexp_replace(text, '(\r\n|\n|\r)([ \t]*(\r\n|\n|\r))+', chr(1), 'g') AS a FROM t),
+s AS (SELECT *, regexp_replace(regexp_replace(a, '([.!?]){_WS}+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g') AS b, regexp_replace(text, '{_WS}+', chr(1), 'g') AS c FROM p)
+SELECT DISTINCT example_no, quote_id, CASE WHEN {_longest('a')} <= 1500 THEN 'paragraph' WHEN {_longest('b')} <= 1500 THEN 'sentence' WHEN {_longest('c')} <= 1500 THEN 'word' ELSE 'none' END AS boundary FROM s""",
     "p3_percentiles": """WITH o AS (SELECT timing_id, arg_max(run_id, received_at) AS run_id, arg_max(started_at, received_at)::DATE AS day, arg_max(timing, received_at) AS t FROM timings GROUP BY timing_id),
 m AS (SELECT run_id, nullif(regexp_replace(lower(trim(pruning_mode)), '[\\s-]+', '_', 'g'), '') AS mode FROM summaries),
 v AS (SELECT coalesce(mode, 'unknown') AS pruning_mode, day, unnest(['ttft_sec', 'total_sec']) AS metric, unnest([t.ttft_sec, t.total_sec]) AS v FROM o LEFT JOIN m USING (run_id)),
