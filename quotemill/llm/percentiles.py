@@ -74,7 +74,7 @@ def select_ranks(values: DataFrame, ranks: DataFrame, finish: int = FINISH) -> D
 
 
 def request_times(timings: DataFrame, summaries: DataFrame) -> DataFrame:
-    """(`pruning_mode`, `day`, `metric`, `v`) of every request, each `timing_id` once, as received last.
+    """(`pruning_mode`, `day`, `metric`, `v`) of every request, each `timing_id` once, as received last; rows without an id count each.
 
     Modes are compared without case, outer blanks and the kind of dash; a run without a mode or without a summary is
     `unknown`. Null, NaN, infinite, zero and negative times are no measurements; a null start has the day null.
@@ -83,7 +83,11 @@ def request_times(timings: DataFrame, summaries: DataFrame) -> DataFrame:
     modes = summaries.groupBy("run_id").agg(F.max(F.when(spelled != "", spelled)).alias("pruning_mode"))
     at = F.col("received_at")
     once = timings.select("timing_id", "received_at", "run_id", F.to_date("started_at").alias("day"), F.col("timing.ttft_sec").alias("ttft_sec"), F.col("timing.total_sec").alias("total_sec"))
-    once = once.groupBy("timing_id").agg(*[F.max_by(c, at).alias(c) for c in ("run_id", "day", "ttft_sec", "total_sec")])
+    fields = ("run_id", "day", "ttft_sec", "total_sec")
+    unnamed = once.where("timing_id is null").select(*fields)
+    # a null time of receipt counts as the earliest
+    at = F.coalesce(at, F.lit("0001-01-01").cast(timings.schema["received_at"].dataType))
+    once = once.where("timing_id is not null").groupBy("timing_id").agg(*[F.max_by(c, at).alias(c) for c in fields]).select(*fields).unionByName(unnamed)
     both = once.join(modes, "run_id", "left").select(F.coalesce("pruning_mode", F.lit("unknown")).alias("pruning_mode"), "day", F.explode(F.create_map(F.lit("ttft_sec"), "ttft_sec", F.lit("total_sec"), "total_sec")).alias("metric", "v"))
     return both.where("v > 0 and not isnan(v) and v < double('infinity')")
 

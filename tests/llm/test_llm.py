@@ -159,3 +159,24 @@ def test_multi_select_against_sorting(spark):
     ranks = [(g, int(r)) for g, vs in values.items() for r in {1, len(vs), len(vs) // 2 + 1, max(1, len(vs) // 3)}]
     got = {(r[0], r[1]): r[2] for r in percentiles.select_ranks(df, spark.createDataFrame(ranks, "g long, rank long"), finish=200).collect()}
     assert got == {(g, r): float(np.sort(values[g])[r - 1]) for g, r in ranks}
+
+
+def test_percentiles_of_dirty_rows(spark):
+    t = "timing_id long, run_id string, started_at string, received_at string, timing struct<ttft_sec:double,total_sec:double>"
+    day, late = "2025-01-01 10:00:00", "2025-01-02 00:00:00"
+    rows = [(1, "r", day, day, (9.0, 9.0)), (1, "r", day, late, (1.0, float("nan"))), (2, "r", day, None, (2.0, 0.0)), (None, "r", day, day, (3.0, -1.0)), (None, "r", day, day, (3.0, None)), (3, None, None, day, None)]
+    times = spark.createDataFrame(rows, t).selectExpr("timing_id", "run_id", "cast(started_at as timestamp) started_at", "cast(received_at as timestamp) received_at", "timing")
+    runs = spark.createDataFrame([("r", " No-Pruning"), (None, None)], "run_id string, pruning_mode string")
+    got = {(r["pruning_mode"], r["metric"], r["p"]): (r["n"], r["value"]) for r in percentiles.percentiles(times, runs).collect()}
+    assert got["no_pruning", "ttft_sec", 0.5] == (4, 2.0) and got["no_pruning", "ttft_sec", 0.99] == (4, 3.0) and {k[1] for k in got} == {"ttft_sec"}
+    assert percentiles.percentiles(times.limit(0), runs).count() == 0
+
+
+def test_combined_days_stay_within_the_bound(spark):
+    rng = np.random.default_rng(2)
+    days = {f"d{i}": rng.lognormal(i, 1, size=500 * (i + 1)) for i in range(3)}
+    rows = [("m", d, len(v), i / 50, float(np.sort(v)[max(1, -(-len(v) * i // 50)) - 1])) for d, v in days.items() for i in range(51)]
+    got = percentiles.combine(spark.createDataFrame(rows, "mode string, day string, n long, p double, value double"), "mode").first()
+    every = np.sort(np.concatenate(list(days.values())))
+    for p in (0.5, 0.9, 0.95, 0.99):
+        assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"]) / len(every) - p) <= 1 / 50 + 0.001
