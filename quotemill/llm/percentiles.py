@@ -5,8 +5,10 @@ interval that still holds a wanted rank; the median of the proposals, weighted b
 pivot; rows are counted three ways (below, equal, above), and parts without a wanted rank are discarded. An interval
 of at most `finish` rows is sorted in one task, so no task ever holds more of a group than that.
 
-The wanted ranks are those of the percentiles and of an even grid of `grid` cells. The grid is a mergeable summary: merged
-over parts (days, partitions) its rank error is at most 1/grid of the merged rows, since it is at most that in each part.
+The wanted ranks are those of the percentiles and of a grid: `grid` even cells, and cells that narrow towards the maximum,
+each at most 1/TAIL of what lies above its lower end. With the percentiles it is a mergeable summary: merged over parts
+(days, partitions) the rank error at share p is at most min(1/grid, (1 - p)/TAIL) + LAST of the merged rows, since it is
+at most that in each part, whatever share the value has there.
 """
 
 from __future__ import annotations
@@ -14,20 +16,35 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.session import cut
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
-GRID = 50
+GRID = 200
+#: The cells of the tail are at most 1/TAIL of what lies above, down to the last one of a share LAST.
+TAIL, LAST = 50, 1e-5
 FINISH = 20_000
 
 
+def shares(percentiles: Sequence[float], grid: int) -> list[float]:
+    """The shares of the percentiles, of the even grid and of the tail, ascending."""
+    tail, above = [], TAIL / grid  # from here on the tail's cells are narrower than the even ones
+    while above > LAST:
+        tail.append(1 - above)
+        above *= 1 - 1 / TAIL
+    return sorted({*percentiles, *(i / grid for i in range(grid + 1)), *(t for t in tail if t > 0), 1 - LAST})
+
+
+def _rank(p: Column | float, n: Column) -> Column:
+    """The rank (from 1) of the value at share p of n."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(p * n - 1e-9).cast("long"))
+
+
 def _wanted(groups: DataFrame, percentiles: Sequence[float], grid: int) -> DataFrame:
     """(`g`, `n`, `rank`): the distinct ranks (from 1) of the percentiles and of the grid."""
-    shares = sorted({*percentiles, *(i / grid for i in range(grid + 1))})
-    ranks = F.array_distinct(F.transform(F.array(*map(F.lit, shares)), lambda p: F.greatest(F.lit(1).cast("long"), F.ceil(p * F.col("n") - 1e-9).cast("long"))))
+    ranks = F.array_distinct(F.transform(F.array(*map(F.lit, shares(percentiles, grid))), lambda p: _rank(p, F.col("n"))))
     return groups.select("g", "n", F.explode(ranks).alias("rank"))
 
 
@@ -99,14 +116,18 @@ def percentiles(timings: DataFrame, summaries: DataFrame, wanted: Sequence[float
     values = cut(times.select(*key, F.xxhash64(*key).alias("g"), "v"))
     groups = cut(values.groupBy("g", *key).agg(F.count("*").alias("n")))
     found = select_ranks(values.select("g", "v"), _wanted(groups, wanted, grid).select("g", "rank"), finish)
-    shares = sorted({*wanted, *(i / grid for i in range(grid + 1))})
-    asked = groups.select("g", *key, "n", F.explode(F.array(*map(F.lit, shares))).alias("p")).withColumn("rank", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("p") * F.col("n") - 1e-9).cast("long")))
+    asked = groups.select("g", *key, "n", F.explode(F.array(*map(F.lit, shares(wanted, grid)))).alias("p")).withColumn("rank", _rank(F.col("p"), F.col("n")))
     return asked.join(found, ["g", "rank"]).select(*key, "n", "p", "value")
 
 
-def combine(summary: DataFrame, *by: str, wanted: Sequence[float] = PERCENTILES, grid: int = GRID) -> DataFrame:
-    """Percentiles over merged groups from their grids alone: each grid value stands for n/grid rows; the rank error is at most 1/grid."""
-    cells = summary.where((F.round(F.col("p") * grid) / grid == F.col("p")) & (F.col("p") > 0)).withColumn("w", F.col("n") / float(grid))
-    w = Window.partitionBy(*by).orderBy("value", "p", "n").rowsBetween(Window.unboundedPreceding, 0)
+def combine(summary: DataFrame, *by: str, wanted: Sequence[float] = PERCENTILES) -> DataFrame:
+    """Percentiles over merged groups from all values of their summaries, each of which must reach p = 1.
+
+    A value stands for the rows of its part from the rank before on; what is no column of `by` tells the parts apart.
+    """
+    part = Window.partitionBy(*[c for c in summary.columns if c not in ("n", "p", "value")]).orderBy("p")
+    ranked = summary.withColumn("r", _rank(F.col("p"), F.col("n")))
+    cells = ranked.withColumn("w", F.col("r") - F.coalesce(F.lag("r").over(part), F.lit(0))).where("w > 0")
+    w = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     run = cells.withColumn("upto", F.sum("w").over(w)).withColumn("all", F.sum("w").over(Window.partitionBy(*by)))
-    return run.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= p * F.col("all") * (1 - 1e-12), F.col("value"))).alias(f"p{round(p * 1000)}") for p in wanted])
+    return run.groupBy(*by).agg(*[F.min(F.when(F.col("upto") >= _rank(p, F.col("all")), F.col("value"))).alias(f"p{round(p * 1000)}") for p in wanted])

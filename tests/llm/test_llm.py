@@ -180,3 +180,14 @@ def test_combined_days_stay_within_the_bound(spark):
     every = np.sort(np.concatenate(list(days.values())))
     for p in (0.5, 0.9, 0.95, 0.99):
         assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"]) / len(every) - p) <= 1 / 50 + 0.001
+
+
+def test_combined_tail_against_exact(spark):
+    rng = np.random.default_rng(4)
+    times = [(d, float(v)) for d in range(20) for v in rng.lognormal(0, 1 + d / 20, size=1000)]
+    t = "timing_id long, run_id string, started_at timestamp, received_at timestamp, timing struct<ttft_sec:double,total_sec:double>"
+    df = spark.createDataFrame([(i, "r", pd.Timestamp(2025, 1, 1 + d).to_pydatetime(), None, (None, v)) for i, (d, v) in enumerate(times)], t)
+    got = percentiles.combine(percentiles.percentiles(df, spark.createDataFrame([("r", "m")], "run_id string, pruning_mode string")), "pruning_mode", "metric").first()
+    every = np.sort([v for _, v in times])
+    for p in (0.5, 0.9, 0.95, 0.99):
+        assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"], side="right") / len(every) - p) <= min(1 / 200, (1 - p) / 50) + 1e-4
