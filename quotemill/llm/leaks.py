@@ -3,9 +3,13 @@
 Documents and items become sequences of word numbers. Runs of `SEED` words are hashed with a rolling polynomial; a
 sorted array of the items' hashes, sent to the workers in blocks of bounded size, finds the shared seeds of every
 document. For each (document, item) with enough seeds the seeds are grown to maximal matches and the longest are
-marked first, never overlapping (the tiles). A tile of `RUN` words is a leak; else, from each tile on, the least number
-of changed, added or dropped words is counted along the item until a stretch of `STRETCH` words has at most one in
-`EDIT` - which also catches passages with changed words between their tiles.
+marked first, never overlapping (the tiles). A tile of `RUN` words is a leak; else, from every `SEED`th place of every
+match, the least numbers of changed, added or dropped words are counted for all stretches backward and forward, and
+the best of both are put together: a leak if a stretch of `STRETCH` words has at most one edit in `EDIT`.
+
+Why that is exact: of a stretch of 2 * `STRETCH` words or more one half qualifies by itself, so only shorter ones are
+looked for. These have at most `WIDE` edits, which bounds the shift between item and document; and some run of `SEED`
+words is intact in them, which holds one of the places counted from.
 
 Why seeds of 5 words lose nothing: n >= 40 words with at most n/6 edits leave 5n/6 words in at most n/6 + 1 runs, so some
 run has more than 4 words; and all runs together have at least 6 seeds at n = 40, more beyond.
@@ -23,6 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED, RUN, STRETCH, EDIT, LEAST_SEEDS = 5, 20, 40, 6, 6
+#: The longest stretch that has to be looked for, and its edits.
+LONGEST = 2 * STRETCH - 1
+WIDE = LONGEST // EDIT
 #: The items go to the workers in blocks of so many words.
 BLOCK_WORDS = 2_000_000
 
@@ -81,6 +88,8 @@ class Items:
         self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, dtype=np.int32)
         self.place = np.concatenate(place)[order] if hashes else np.empty(0, dtype=np.int32)
 
+        self.start = np.cumsum([0] + [len(t) for t in self.tokens])
+        self.words = np.concatenate([*self.tokens, np.zeros(1, dtype=np.uint64)])
         self.memo: dict[str, int] = {}
         self.several: list[list[int]] = []
 
@@ -130,15 +139,27 @@ class Items:
         order = np.argsort(pair, kind="stable")
         pair, place, where = pair[order], place[order], where[order]
         edge = np.flatnonzero(np.r_[True, np.diff(pair) != 0, True])
-        found = []
+        found, begun = [], []
         for a, b in zip(edge[:-1], edge[1:]):
             if b - a < LEAST_SEEDS:
                 continue
             d, k = divmod(int(pair[a]), len(self.ids))
             item = self.tokens[k]
             if len(item) >= RUN and len(np.unique(place[a:b])) >= LEAST_SEEDS:
-                if leaked(item, doc[begin[d] : begin[d + 1]], place[a:b], where[a:b] - begin[d]):
+                at_doc = where[a:b] - begin[d]
+                if b - a > RUN - SEED and any(n >= RUN for _, _, n in tiles(item, doc[begin[d] : begin[d + 1]], place[a:b], at_doc)):
                     found.append((d, self.ids[k]))
+                elif len(item) >= STRETCH:
+                    i, j = anchors(place[a:b], at_doc)
+                    begun.append((np.full(len(i), d), np.full(len(i), k), i, j))
+        if begun:
+            d, k, i, j = map(np.concatenate, zip(*begun))
+            hits = np.zeros(len(d), bool)
+            for a in range(0, len(d), 5000):
+                s = slice(a, a + 5000)
+                item, text = (self.start[k[s]], self.start[k[s] + 1]), (begin[d[s]], begin[d[s] + 1] - SEED)
+                hits[s] = stretches(self.words, doc, item, text, self.start[k[s]] + i[s], begin[d[s]] + j[s])
+            found += [(int(x), self.ids[y]) for x, y in sorted(set(zip(d[hits], k[hits])))]
         return found
 
     def leaks(self, text: str) -> list[int]:
@@ -175,41 +196,46 @@ def tiles(item: np.ndarray, doc: np.ndarray, place: np.ndarray, where: np.ndarra
     return out
 
 
-def leaked(item: np.ndarray, doc: np.ndarray, place: np.ndarray, where: np.ndarray) -> bool:
-    """Whether the document holds RUN consecutive words of the item, or a STRETCH of it with at most one edit in EDIT words."""
-    marked = tiles(item, doc, place, where)
-    if any(n >= RUN for _, _, n in marked):
-        return True
-    if len(item) < STRETCH or len(marked) < 2:
-        return False
-    for i, j, _ in sorted(marked):  # tiles that some stretch could join to this one
-        near = [m for m in marked if m[0] > i and m[1] > j and abs((m[1] - j) - (m[0] - i)) <= (m[0] - i) // EDIT + 2]
-        if near and _stretch_from(item[i:], doc[j : j + len(item) - i + len(item) // EDIT + 2]):
-            return True
-        if near and i and _stretch_from(item[: i + 1][::-1], doc[: j + 1][::-1][: i + 1 + i // EDIT + 2]):
-            return True
-    return False
-
-
-def _stretch_from(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether some beginning of the item of at least STRETCH words has at most len/EDIT edits against a beginning of the document."""
-    m = len(doc)
-    if len(item) < STRETCH or m < STRETCH * (EDIT - 1) // EDIT:
-        return False
-    steps = np.arange(m + 1)
-    row = steps.copy()
-    for n in range(1, len(item) + 1):
-        new = np.empty(m + 1, dtype=np.int64)
-        new[0] = n
-        np.minimum(row[1:] + 1, row[:-1] + (doc != item[n - 1]), out=new[1:])
-        new = np.minimum.accumulate(new - steps) + steps
-        row = new
-        least = int(row.min())
-        if n >= STRETCH and EDIT * least <= n:
-            return True
-        if EDIT * least > len(item):
-            return False
-    return False
+def anchors(place: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every SEED-th place of every match, in the item and in the document."""
+    order = np.lexsort((place, where - place))
+    place, where = place[order], where[order]
+    fresh = np.r_[True, (np.diff(where - place) != 0) | (np.diff(place) != 1)]
+    first = place[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    keep = (place - first) % SEED == 0
+    return place[keep], where[keep]
+
+
+def stretches(words: np.ndarray, doc: np.ndarray, item: tuple[np.ndarray, np.ndarray], text: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether a stretch of the item of at least STRETCH words that passes the place (i, j) has at most one edit in EDIT; for all places at once, each within its item and text (begin, end)."""
+    left = _gains(words, doc, i - 1, j - 1, i - item[0], j - text[0], -1)
+    right = _gains(words, doc, i, j, item[1] - i, text[1] - j, 1)
+    beyond = np.maximum.accumulate(right[:, ::-1], axis=1)[:, ::-1]  # the best of at least so many words
+    return (left + beyond[:, np.maximum(STRETCH - np.arange(LONGEST + 1), 0)] >= 0).any(axis=1)
+
+
+def _gains(words: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, item_left: np.ndarray, doc_left: np.ndarray, step: int) -> np.ndarray:
+    """n - EDIT * (least edits of the n words of the item from i on, against words of the document from j on), for n up to LONGEST; in a band of WIDE words to both sides."""
+    shift = np.arange(-WIDE, WIDE + 1)
+    never = 10_000
+    out = np.full((len(i), LONGEST + 1), -never * EDIT, dtype=np.int64)
+    out[:, 0] = 0
+    row = np.repeat(np.where(shift >= 0, shift, never)[None, :], len(i), axis=0)
+    live = np.arange(len(i))
+    for n in range(1, LONGEST + 1):
+        go = (item_left >= n) & (row.min(axis=1) <= WIDE)
+        if not go.all():
+            i, j, item_left, doc_left, row, live = i[go], j[go], item_left[go], doc_left[go], row[go], live[go]
+        if not len(live):
+            break
+        m = n + shift
+        at = np.clip(j[:, None] + step * (m - 1), 0, len(doc) - 1)
+        same = (doc[at] == words[i + step * (n - 1)][:, None]) & (m >= 1) & (m <= doc_left[:, None])
+        new = row + ~same
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - shift, axis=1) + shift
+        out[live, n] = n - EDIT * row.min(axis=1)
+    return out
 
 
 def _blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[int, str]]]:

@@ -191,3 +191,47 @@ def test_combined_tail_against_exact(spark):
     every = np.sort([v for _, v in times])
     for p in (0.5, 0.9, 0.95, 0.99):
         assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"], side="right") / len(every) - p) <= min(1 / 200, (1 - p) / 50) + 1e-4
+
+
+def _has_stretch(item, doc):
+    """By brute force: every beginning, the edits of every length against any part of the document."""
+    for a in range(len(item) - 39):
+        row = [0] * (len(doc) + 1)
+        for n, w in enumerate(item[a:], 1):
+            new = [n]
+            for k, x in enumerate(doc):
+                new.append(min(row[k] + (w != x), row[k + 1] + 1, new[k] + 1))
+            row = new
+            if n >= 40 and 6 * min(row) <= n:
+                return True
+    return False
+
+
+def _runs(words, runs, head=0):
+    out, at = [f"h{i}" for i in range(head)], head
+    for n in runs:
+        out += words[at : at + n] + ["zz"]
+        at += n + 1
+    return out[:-1]
+
+
+@pytest.mark.parametrize("runs", [(4, 5, 5, 5, 5, 5, 5), (4, 4, 4, 19, 4, 4), (19, 4, 4, 4, 3, 1), (5, 5, 5, 5, 5, 5, 4)])
+def test_stretch_around_any_tile(runs):
+    words = [f"w{i}" for i in range(60)]
+    doc = _runs(words, runs, head=3)
+    assert _has_stretch(words, doc) == bool(leaks.Items([(1, " ".join(words))]).leaks(" ".join(doc)))
+
+
+def test_stretches_against_brute_force():
+    rng = np.random.default_rng(8)
+    seen = []
+    for case in range(60):
+        words = [f"w{i}" for i in range(55)]
+        n, a = int(rng.integers(40, 46)), int(rng.integers(0, 10))
+        part = words[a : a + n]
+        for at in sorted(rng.choice(n, n // 6 + case % 2, replace=False), reverse=True):
+            part[at : at + 1] = [["zz"], [], [part[at], "yy"]][rng.choice(3, p=[0.8, 0.1, 0.1])]
+        doc = ["x"] * 30 + part + ["y"] * 30
+        seen.append(want := _has_stretch(words, doc) or any(doc[k : k + 20] == words[b : b + 20] for k in range(len(doc)) for b in range(36)))
+        assert bool(leaks.Items([(1, " ".join(words))]).leaks(" ".join(doc))) == want
+    assert 10 < sum(seen) < 60
