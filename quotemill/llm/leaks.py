@@ -11,8 +11,8 @@ Why that is exact: of a stretch of 2 * `STRETCH` words or more one half qualifie
 looked for. These have at most `WIDE` edits, which bounds the shift between item and document; and some run of `SEED`
 words is intact in them, which holds one of the places counted from.
 
-Why seeds of 5 words lose nothing: n >= 40 words with at most n/6 edits leave 5n/6 words in at most n/6 + 1 runs, so some
-run has more than 4 words; and all runs together have at least 6 seeds at n = 40, more beyond.
+Why seeds of 5 words lose nothing: n >= 40 words with e <= n/6 edits leave n - e words in at most e + 1 runs, so some run
+has more than 4 words; and all runs together have at least n - e - 4 * (e + 1) seeds, which is least at n = 42, e = 7: 3.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED, RUN, STRETCH, EDIT, LEAST_SEEDS = 5, 20, 40, 6, 6
+SEED, RUN, STRETCH, EDIT, LEAST_SEEDS = 5, 20, 40, 6, 3
 #: The longest stretch that has to be looked for, and its edits.
 LONGEST = 2 * STRETCH - 1
 WIDE = LONGEST // EDIT

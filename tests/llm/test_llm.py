@@ -235,3 +235,10 @@ def test_stretches_against_brute_force():
         seen.append(want := _has_stretch(words, doc) or any(doc[k : k + 20] == words[b : b + 20] for k in range(len(doc)) for b in range(36)))
         assert bool(leaks.Items([(1, " ".join(words))]).leaks(" ".join(doc))) == want
     assert 10 < sum(seen) < 60
+
+
+def test_stretch_with_the_fewest_seeds():
+    words = [f"w{i}" for i in range(60)]
+    doc = _runs(words, (4, 5, 4, 5, 4, 5, 4, 4), head=2)
+    assert _has_stretch(words, doc) and leaks.Items([(1, " ".join(words))]).leaks(" ".join(doc)) == [1]
+    assert leaks.LEAST_SEEDS == min(n - n // 6 - 4 * (n // 6 + 1) for n in range(40, 1000))
