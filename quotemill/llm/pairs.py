@@ -281,10 +281,10 @@ def sentence_ends(pairs: DataFrame, answer: str = "pred_answer") -> DataFrame:
                 text = _CITATION.sub("", text)
                 total.update(t.casefold() for t in _TOKEN.findall(text))
                 ends.update(m.casefold() for m in re.findall(r"(\w+)\s*[.!?](?:\s|$)", text))
-        yield pd.DataFrame([(w, ends[w], n) for w, n in total.items() if ends[w]], columns=["word", "ends", "n"])
+        yield pd.DataFrame([(w, ends[w], n) for w, n in total.items()], columns=["word", "ends", "n"])
 
     some = pairs.where(F.col(answer).isNotNull()).select(F.col(answer).alias("a")).mapInPandas(count, "word string, ends long, n long")
-    return some.groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n"))
+    return some.groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("n").alias("n")).where("ends > 0")
 
 
 def flag_pairs(pairs: DataFrame, id_col: str = "pred_id", question: str = "question", answer: str = "pred_answer", gold: str = "gold_answer", end_share: float = 0.4) -> DataFrame:

@@ -242,3 +242,10 @@ def test_stretch_with_the_fewest_seeds():
     doc = _runs(words, (4, 5, 4, 5, 4, 5, 4, 4), head=2)
     assert _has_stretch(words, doc) and leaks.Items([(1, " ".join(words))]).leaks(" ".join(doc)) == [1]
     assert leaks.LEAST_SEEDS == min(n - n // 6 - 4 * (n // 6 + 1) for n in range(40, 1000))
+
+
+def test_sentence_ends_do_not_hang_on_the_partitions(spark):
+    rows = [(0, "It was by the mill.")] + [(i, "The mill is old.") for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "pred_id long, pred_answer string")
+    got = [sorted(tuple(r) for r in pairs.sentence_ends(df.repartition(n, "pred_id")).collect()) for n in (1, 9)]
+    assert got[0] == got[1] == [("mill", 1, 9), ("old", 8, 8)]
