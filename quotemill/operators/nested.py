@@ -9,7 +9,7 @@ is expected.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,25 +19,37 @@ CHILD_SCHEMA = "line_id long, row_pos long, child string, pos long, sub_pos long
 
 
 class TreeAutomaton:
-    """States of JSON nodes, bottom-up. A rule (state, needed keys, forbidden keys) takes an object; the first that fits counts."""
+    """States of JSON nodes, bottom-up. A rule (state, needed, forbidden) takes an object; the first that fits counts.
+
+    What a rule needs is a key, or `key:state` for one whose node's state begins so.
+    """
 
     def __init__(self, rules: list[tuple[str, frozenset[str], frozenset[str]]], default: str = "other") -> None:
         self.rules, self.default = rules, default
-        self.seen: dict[frozenset[str], str] = {}  # one transition per set of keys, worked out once
+        self.seen: dict[frozenset[tuple[str, str]], str] = {}  # one transition per set of keys and states below, worked out once
 
     def leaf(self, node: object) -> str:
         if node is None:
             return "null"
         return "bool" if isinstance(node, bool) else "number" if isinstance(node, (int, float)) else "text"
 
-    def state(self, node: object) -> str:
+    def _fits(self, below: dict[str, str], need: frozenset[str], no: frozenset[str]) -> bool:
+        return not no & below.keys() and all(below.get(k, "null").startswith(s) if s else k in below for k, _, s in (x.partition(":") for x in need))
+
+    def state(self, node: object, depth: int = 50) -> str:
+        node = decoded(node)
+        if isinstance(node, (dict, list)) and not depth:
+            return "deep"
         if isinstance(node, dict):
-            keys = frozenset(k for k, v in node.items() if v is not None)  # a null field is an absent one
-            if keys not in self.seen:
-                self.seen[keys] = next((s for s, need, no in self.rules if need <= keys and not no & keys), self.default)
-            return self.seen[keys]
+            below = {k: self.state(v, depth - 1) for k, v in node.items() if v is not None}  # a null field is an absent one
+            key = frozenset(below.items())
+            if key not in self.seen:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                self.seen[key] = next((s for s, need, no in self.rules if self._fits(below, need, no)), self.default)
+            return self.seen[key]
         if isinstance(node, list):
-            return "list<" + "|".join(sorted({self.state(x) for x in node})) + ">"
+            return "list<" + "|".join(sorted({self.state(x, depth - 1) for x in node})) + ">"
         return self.leaf(node)
 
 
@@ -47,9 +59,9 @@ def _rule(state: str, need: str, no: str = "") -> tuple[str, frozenset[str], fro
 
 PREDICTIONS = TreeAutomaton([
     _rule("result", "rows"),
-    _rule("pruning_rendered", "keep_indices rendered_image_path"), _rule("pruning_hooked", "keep_indices hook_required"), _rule("pruning_kept", "keep_indices"),
+    _rule("pruning_rendered", "keep_indices:list rendered_image_path"), _rule("pruning_hooked", "keep_indices:list hook_required"), _rule("pruning_kept", "keep_indices:list"),
     _rule("pruning_skipped", "skipped"), _rule("pruning_bare", "mode tokens_before"),
-    _rule("image_pruned", "quote_id visual_pruning layout_id"), _rule("pruning_entry", "quote_id visual_pruning"), _rule("image_plain", "quote_id", "visual_pruning"),
+    _rule("image_pruned", "quote_id visual_pruning:pruning layout_id"), _rule("pruning_entry", "quote_id visual_pruning:pruning"), _rule("image_plain", "quote_id", "visual_pruning"),
     _rule("record", "q_id"), _rule("timing", "total_sec"), _rule("metrics", "em"),
 ])
 
@@ -87,6 +99,34 @@ def _float(x: object) -> float | None:
         return None
 
 
+def _bool(x: object) -> bool | None:
+    return x if isinstance(x, bool) else {"true": True, "false": False, "1": True, "0": False}.get(str(x).strip().lower())
+
+
+def _listed(read: Callable[[object], object]) -> Callable[[object], list | None]:
+    def several(x: object) -> list | None:
+        x = decoded(x)
+        return [read(y) for y in x] if isinstance(x, list) else None
+
+    return several
+
+
+#: The fields of a visual pruning: how each is read, and its type.
+FIELDS = {
+    "mode": (_text, "string"), "skipped": (_bool, "boolean"), "reason": (_text, "string"), "tokens_before": (_long, "long"), "tokens_after": (_long, "long"), "grid_rows": (_long, "long"), "grid_cols": (_long, "long"),
+    "keep_indices": (_listed(_long), "array<long>"), "keep_boxes": (_listed(_listed(_long)), "array<array<long>>"), "scores": (_listed(_float), "array<double>"),
+    "rendered_image_path": (_text, "string"), "hook_required": (_bool, "boolean"), "hook_point": (_text, "string"),
+}
+
+
+def _pruning(row_pos: int, pos: int, sub: int, name: str | None, pruning: dict, automaton: TreeAutomaton) -> tuple:
+    """The row of a visual pruning; `value` has its fields as JSON, those of other names as JSON in `rest`."""
+    fields = {k: read(pruning.get(k)) for k, (read, _) in FIELDS.items()}
+    rest = {k: v for k, v in pruning.items() if k not in FIELDS and v is not None}
+    fields["rest"] = json.dumps(rest, ensure_ascii=False) if rest else None
+    return row_pos, "pruning", pos, sub, name, automaton.state(pruning), json.dumps(fields, ensure_ascii=False), None, None, None, None, None
+
+
 def children(line: str | None, automaton: TreeAutomaton = PREDICTIONS) -> Iterator[tuple]:
     """The child records of a line, in the order of CHILD_SCHEMA without line_id. What is no JSON object has none."""
     try:
@@ -100,22 +140,30 @@ def children(line: str | None, automaton: TreeAutomaton = PREDICTIONS) -> Iterat
         record = decoded(record)
         if not isinstance(record, dict):
             continue
-        entries = {_text(e.get("quote_id")): e.get("visual_pruning") for e in reversed([x for x in map(decoded, _several(record.get("visual_pruning"))) if isinstance(x, dict)])}
+        parts = [(sub, _text(e.get("quote_id")), decoded(e.get("visual_pruning"))) for sub, e in enumerate(map(decoded, _several(record.get("visual_pruning")))) if isinstance(e, dict)]
+        entries = {name: (sub, part) for sub, name, part in reversed(parts)}
+        taken = set()
         for pos, image in enumerate(map(decoded, _several(record.get("selected_img_quotes")))):
             if not isinstance(image, dict):
                 continue
             name = _text(image.get("quote_id"))
             yield row_pos, "image", pos, -1, name, automaton.state(image), None, _text(image.get("img_path")), _long(image.get("page_id")), _long(image.get("layout_id")), None, None
             pruning = decoded(image.get("visual_pruning"))
-            if pruning is None:
-                pruning = decoded(entries.get(name))
+            entry = -1
+            if pruning is None and name in entries:
+                entry, pruning = entries[name]
             if not isinstance(pruning, dict):
                 continue
+            taken.add(entry)
+            yield _pruning(row_pos, pos, entry, name, pruning, automaton)
             kept, scores = decoded(pruning.get("keep_indices")), decoded(pruning.get("scores"))
             state = automaton.state(pruning)
             for sub, index in enumerate(kept if isinstance(kept, list) else []):
                 score = scores[sub] if isinstance(scores, list) and sub < len(scores) else None
                 yield row_pos, "tile", pos, sub, name, state, _text(index), None, None, None, _long(index), _float(score)
+        for entry, name, pruning in parts:  # those no image takes up
+            if entry not in taken and isinstance(pruning, dict):
+                yield _pruning(row_pos, -1, entry, name, pruning, automaton)
         for child, field in (("timing", "timing"), ("metric", "metrics")):
             part = decoded(record.get(field))
             if isinstance(part, dict):
@@ -155,8 +203,46 @@ def subtype_tables(nodes: DataFrame) -> dict[str, DataFrame]:
     return {c: nodes.where(F.col("child") == c).select(*LINKS, *cols) for c, cols in SUBTYPES.items()}
 
 
+_FULL = ("mode", "tokens_before", "tokens_after", "grid_rows", "grid_cols", "keep_indices", "keep_boxes", "scores")
+#: The typed columns of each pruning variant's table besides the links; a variant not named here has them all.
+VARIANTS = {
+    "pruning_rendered": (*_FULL, "rendered_image_path"), "pruning_hooked": (*_FULL, "hook_required", "hook_point"), "pruning_kept": _FULL,
+    "pruning_skipped": ("mode", "skipped", "reason", "tokens_before", "tokens_after"), "pruning_bare": ("mode", "tokens_before", "tokens_after"), "other": tuple(FIELDS),
+}
+
+
+def pruning_tables(nodes: DataFrame) -> dict[str, DataFrame]:
+    """One flat table per state of a visual pruning, with the common links, its own typed columns and, in `rest`, the fields it has besides as JSON.
+
+    `pos` is the image's place, -1 where the record has no image for it; `sub_pos` the place in the record's
+    `visual_pruning`, -1 where the image has it. Write `nodes` first where several tables are used.
+    """
+    schema = ", ".join(f"{k} {kind}" for k, (_, kind) in FIELDS.items()) + ", rest string"
+    found = nodes.where("child = 'pruning'").withColumn("f", F.from_json("value", schema))
+    state = F.when(F.col("variant").isin(*VARIANTS), F.col("variant")).otherwise("other")
+    out = {}
+    for variant, cols in VARIANTS.items():
+        besides = F.to_json(F.struct(*[F.col(f"f.{c}").alias(c) for c in (*FIELDS, "rest") if c not in cols]))
+        out[variant] = found.where(state == variant).select(*LINKS, *[F.col(f"f.{c}").alias(c) for c in cols], F.nullif(besides, F.lit("{}")).alias("rest"))
+    return out
+
+
+def prunings(nodes: DataFrame) -> DataFrame:
+    """The tables of all pruning variants, one below the other."""
+    out = None
+    for variant, df in pruning_tables(nodes).items():
+        df = df.withColumn("variant", F.lit(variant))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out.select(*LINKS, "variant", *FIELDS, "rest")
+
+
+def prediction_nodes(predictions: DataFrame) -> DataFrame:
+    """The child records of typed predictions with all their values, as `flatten_lines` has them; `line_id` is the `pred_id`."""
+    return flatten_lines(predictions.select("pred_id", F.to_json(F.struct("selected_img_quotes", "visual_pruning", "timing", "metrics")).alias("line")), "pred_id")
+
+
 def child_index(lines: DataFrame) -> DataFrame:
-    return flatten_lines(lines).select("line_id", "row_pos", "child", "pos", "sub_pos", "name").distinct()
+    return flatten_lines(lines).where("child <> 'pruning'").select("line_id", "row_pos", "child", "pos", "sub_pos", "name").distinct()
 
 
 def flatten_predictions(predictions: DataFrame) -> DataFrame:

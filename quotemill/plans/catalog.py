@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import judge, text
 from quotemill.operators import nested, prompting, pruning, retrieval
 from quotemill.plans import summary
-from quotemill.session import table
+from quotemill.session import cut, table
 from quotemill.sources import io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,3 +259,13 @@ def p1_typed(s, d):
 @query()
 def p1_variants(s, d):
     return nested.flatten_lines(table(s, d, "prediction_lines")).groupBy("child", "variant").agg(F.count("*").alias("n"))
+
+
+@query()
+def p1_prunings(s, d):
+    return nested.prunings(cut(nested.flatten_lines(table(s, d, "prediction_lines")).where("child = 'pruning'")))
+
+
+@query()
+def p1_typed_prunings(s, d):
+    return nested.prunings(cut(nested.prediction_nodes(table(s, d, "predictions")).where("child = 'pruning'"))).withColumnRenamed("line_id", "pred_id")

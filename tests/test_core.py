@@ -134,3 +134,20 @@ def test_requests(spark):
     for image, n, kept, want in ((False, 4, [1], "missing_image"), (True, 5, [1], "non_square_patch_grid"), (True, 9, [], "empty_keep_indices"), (True, 9, [1], "applied")):
         assert one(spark, request.probe_outcome(F.col("a"), F.col("n"), F.col("k")), a=image, n=n, k=kept) == want
     assert telemetry.host_memory(spark).first()["total_gib"] > 0
+
+
+def test_every_pruning_has_a_row(spark):
+    skipped = {"mode": "m", "skipped": True, "reason": "small", "tokens_before": 5, "tokens_after": 5, "probe": {"a": 1}}
+    kept = {"mode": "m", "tokens_before": 9, "tokens_after": "2", "keep_indices": "[1, 2]", "keep_boxes": [[0, 0, 1, 1]], "rendered_image_path": "p.png"}
+    record = {"selected_img_quotes": [{"quote_id": "i1", "visual_pruning": skipped}, {"quote_id": "i2", "visual_pruning": kept}, {"quote_id": "i3"}]}
+    record["visual_pruning"] = [{"quote_id": "i3", "visual_pruning": {"mode": "b", "tokens_before": 7}}, {"quote_id": "lost", "visual_pruning": {"keep_indices": [4], "hook_required": False}}]
+    nodes = nested.flatten_lines(spark.createDataFrame([(1, json.dumps(record))], "line_id long, line string")).cache()
+    got = {r["name"]: r for r in nested.prunings(nodes).collect()}
+    assert {n: (r["variant"], r["pos"], r["sub_pos"]) for n, r in got.items()} == {"i1": ("pruning_skipped", 0, -1), "i2": ("pruning_rendered", 1, -1), "i3": ("pruning_bare", 2, 0), "lost": ("pruning_hooked", -1, 1)}
+    assert got["i1"]["reason"] == "small" and got["i1"]["skipped"] is True and "probe" in got["i1"]["rest"] and got["i2"]["keep_boxes"] == [[0, 0, 1, 1]] and got["i2"]["tokens_after"] == 2 and got["i2"]["keep_indices"] == [1, 2]
+    assert "reason" not in nested.pruning_tables(nodes)["pruning_rendered"].columns and got["lost"]["hook_required"] is False and got["i3"]["rest"] is None
+
+
+def test_states_come_from_below():
+    assert nested.PREDICTIONS.state({"quote_id": "i", "layout_id": 1, "visual_pruning": {"keep_indices": "[1]"}}) == "image_pruned"
+    assert nested.PREDICTIONS.state({"quote_id": "i", "layout_id": 1, "visual_pruning": "none"}) == nested.PREDICTIONS.state({"keep_indices": 3}) == "other"
