@@ -13,11 +13,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.splits import document_key
@@ -29,6 +30,10 @@ HYPHENS = "-‐‑¬\xad"
 
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])\s*(?=\w)")
+_LEFT = re.compile(r"\w+$")
+_WORD = re.compile(r"\w+")
+_HYPHENED = re.compile(r"(\w+)[-‐‑](?=(\w+))")
+_CORE = re.compile(r"^([^\w@]*)(.*?)([^\w@]*)$", re.S)
 _EDGES = re.compile(r"^[^\w@]+|[^\w@]+$")
 _INNER = re.compile(rf"[{HYPHENS}'’–—/]")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
@@ -198,8 +203,19 @@ def words_in(token: str) -> list[str]:
     return [w for part in _INNER.split(_EDGES.sub("", token)) if len(w := _EDGES.sub("", part).lower()) >= 2]
 
 
-def word_counts(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
-    """(`word`, `n`) over all quotes, broken words put together."""
+def mended(text: str, keep: Container[str]) -> str:
+    """The text with broken words put together; the hyphen stays in the compounds of `keep`."""
+    return _BROKEN.sub(lambda m: "-" if _around(m) in keep else "", text)
+
+
+def _around(m: re.Match) -> str:
+    """The words around a break, with a plain hyphen between them."""
+    left = _LEFT.search(m.string, max(0, m.start() - 60), m.start()).group()
+    return f"{left}-{_WORD.match(m.string, m.end()).group()}".lower()
+
+
+def compounds(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
+    """(`word`): the words that stand on one line more often with a hyphen than joined, over the whole corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens: Counter = Counter()
@@ -207,7 +223,72 @@ def word_counts(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
             for texts in pdf["t"]:
                 for text in texts:
                     if text:
-                        tokens.update((_BROKEN.sub("", text) if "\n" in text or "\r" in text else text).split())
+                        tokens.update(text.split())
+        with_hyphen: Counter = Counter()
+        joined: Counter = Counter()
+        for token, n in tokens.items():
+            low = token.lower()
+            for w in _WORD.findall(low):
+                joined[w] += n
+            for left, right in _HYPHENED.findall(low):
+                with_hyphen[f"{left}-{right}"] += n
+        rows = [(w.replace("-", ""), w, n, 0) for w, n in with_hyphen.items()] + [(w, None, 0, n) for w, n in joined.items()]
+        yield pd.DataFrame(rows, columns=["joined", "word", "h", "j"])
+
+    texts = examples.where(F.col(quotes).isNotNull()).select(F.col(f"{quotes}.text").alias("t"))
+    counts = texts.mapInPandas(count, "joined string, word string, h long, j long").groupBy("joined", "word").agg(F.sum("h").alias("h"), F.sum("j").alias("j"))
+    counts = counts.withColumn("j", F.sum("j").over(Window.partitionBy("joined")))
+    return counts.where("word is not null and h > j").select("word")
+
+
+def _table(own: Iterable[str] | None) -> dict[str, str]:
+    return dict(x.split(" ") for x in own) if own is not None else {}
+
+
+def _given(examples: DataFrame, words: DataFrame, spell: Callable[[list[dict], str | None, Iterable[str] | None], Iterable[str]], column: str, quotes: str, name: str, most: int) -> tuple[DataFrame, Broadcast]:
+    """The examples with a `column`, and a broadcast dict of `words` (`word`, `target`), if they are at most `most`.
+
+    Beyond that the broadcast holds None, and the column "word target" for those words that `spell` finds in the example.
+    """
+    few = words.limit(most + 1).toLocalIterator() if most >= 0 else None
+    table = {r["word"]: r["target"] for r in few} if few is not None else None
+    spark = examples.sparkSession
+    if table is not None and len(table) <= most:
+        return examples.withColumn(column, F.lit(None).cast("array<string>")), spark.sparkContext.broadcast(table)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(e, w) for e, d, qs, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]) for w in set(spell([dict(q) for q in qs if q is not None], d, k))]
+            yield pd.DataFrame(rows, columns=["e", "word"])
+
+    kept = F.col("_keep") if "_keep" in examples.columns else F.lit(None).cast("array<string>")
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), kept.alias("k"))
+    own = source.mapInPandas(pairs, "e long, word string").join(words, "word")
+    own = own.groupBy(F.col("e").alias("example_no")).agg(F.collect_set(F.concat_ws(" ", "word", "target")).alias(column))
+    return examples.join(own, "example_no", "left"), spark.sparkContext.broadcast(None)
+
+
+def _mending(examples: DataFrame, quotes: str, name: str, most: int) -> tuple[DataFrame, Broadcast]:
+    """The examples with `_keep`, and the compounds that keep their hyphen (see `_given`)."""
+
+    def spell(own: list[dict], doc: str | None, _: object) -> Iterator[str]:
+        for text in [q["text"] or "" for q in own] + [r["clean"] for r in read_quotes(own, doc)]:
+            yield from map(_around, _BROKEN.finditer(text))
+
+    return _given(examples, compounds(examples, quotes).withColumn("target", F.col("word")), spell, "_keep", quotes, name, most)
+
+
+def word_counts(examples: DataFrame, quotes: str, keep: Broadcast) -> DataFrame:
+    """(`word`, `n`) over all quotes, broken words put together; `examples` and `keep` are those of `_mending`."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens: Counter = Counter()
+        for pdf in batches:
+            for texts, own in zip(pdf["t"], pdf["k"]):
+                known = _table(own) if keep.value is None else keep.value
+                for text in texts:
+                    if text:
+                        tokens.update(mended(text, known).split())
         words: Counter = Counter()
         for token, n in tokens.items():
             if len(token) < 60:
@@ -215,7 +296,7 @@ def word_counts(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
                     words[w] += n
         yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
-    texts = examples.where(F.col(quotes).isNotNull()).select(F.col(f"{quotes}.text").alias("t"))
+    texts = examples.where(F.col(quotes).isNotNull()).select(F.col(f"{quotes}.text").alias("t"), F.col("_keep").alias("k"))
     return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -268,13 +349,18 @@ def mixed(word: str) -> bool:
     return bool(_MIXED.match(word)) and len(word) >= 4 and sum(c.isalpha() for c in word) >= 3 and not re.match(r"^(?:[^\W\d_]{1,3}\d+|\d+[^\W\d_]{1,3}|\d{2,}.*)$", word)
 
 
+def _spelled(text: str, keep: Container[str]) -> set[str]:
+    return {w for t in mended(text, keep).split() if len(t) < 60 for w in words_in(t)}
+
+
 def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `quote_id`, `noise`), one row per quote and kind of noise.
 
     Null quotes and texts have none. The corrections go to the workers as a set of words if they are at most
     `most`; beyond that the words of the quotes are joined with them.
     """
-    fixes = corrections(word_counts(examples, quotes)).select("word")
+    examples, keep = _mending(examples, quotes, name, most)
+    fixes = corrections(word_counts(examples, quotes, keep)).select("word")
     spark = examples.sparkSession
     few = [r[0] for r in fixes.limit(most + 1).toLocalIterator()]
     known = spark.sparkContext.broadcast(frozenset(few) if len(few) <= most else None)
@@ -292,55 +378,58 @@ def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "do
 
         for pdf in batches:
             rows = []
-            for number, doc, quotes_ in zip(pdf["e"], pdf["d"], pdf["q"]):
+            for number, doc, quotes_, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]):
+                compound = _table(k) if keep.value is None else keep.value
                 own = [{"quote_id": q["quote_id"], "text": q["text"], "page_id": q["page_id"], "layout_id": q["layout_id"]} for q in quotes_ if q is not None]
                 for q, r in zip(own, read_quotes(own, doc)):
                     text = q["text"] or ""
-                    if any(map(misread, _BROKEN.sub("", text).split())):
+                    if any(map(misread, mended(text, compound).split())):
                         r["found"].add("misread")
                     rows += [(number, q["quote_id"], k) for k in r["found"]]
             yield pd.DataFrame(rows, columns=["example_no", "quote_id", "noise"])
 
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"))
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"))
     out = source.mapInPandas(read, "example_no long, quote_id string, noise string")
     if known.value is None:
 
         def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(e, q["quote_id"], w) for e, qs in zip(pdf["e"], pdf["q"]) for q in qs if q is not None and q["text"] for w in {w for t in _BROKEN.sub("", q["text"]).split() if len(t) < 60 for w in words_in(t)}]
+                rows = [(e, q["quote_id"], w) for e, qs, k in zip(pdf["e"], pdf["q"], pdf["k"]) for known in [_table(k) if keep.value is None else keep.value] for q in qs if q is not None and q["text"] for w in _spelled(q["text"], known)]
                 yield pd.DataFrame(rows, columns=["example_no", "quote_id", "word"])
 
-        words = source.select("e", "q").mapInPandas(spell, "example_no long, quote_id string, word string")
+        words = source.select("e", "q", "k").mapInPandas(spell, "example_no long, quote_id string, word string")
         out = out.unionByName(words.join(fixes, "word").select("example_no", "quote_id", F.lit("misread").alias("noise")))
     return out.distinct()
 
 
 def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `text`): the quotes of each example in the order of page and layout as continuous paragraphs, headers and page numbers out, broken words and sentences joined, misread words corrected."""
-    fixes = corrections(word_counts(examples, quotes)).limit(most + 1).toLocalIterator()
+    examples, keep = _mending(examples, quotes, name, most)
+    fixes = corrections(word_counts(examples, quotes, keep)).limit(most + 1).toLocalIterator()
     table = {r["word"]: r["target"] for r in fixes}
     if len(table) > most:
         raise ValueError("more misread words than may go to a worker; raise `most` with the workers' memory")
     known = examples.sparkSession.sparkContext.broadcast(table)
 
     def fixed(token: str) -> str:
-        m = re.match(r"^([^\w@]*)(.*?)([^\w@]*)$", token, re.S)
+        m = _CORE.match(token)
         core = known.value.get(m.group(2).lower())
         return token if core is None else m.group(1) + (core.upper() if m.group(2).isupper() and len(core) > 1 else core.capitalize() if m.group(2)[0].isupper() else core) + m.group(3)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for number, doc, quotes_ in zip(pdf["e"], pdf["d"], pdf["q"]):
+            for number, doc, quotes_, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]):
+                compound = _table(k) if keep.value is None else keep.value
                 read = read_quotes([dict(q) for q in quotes_ if q is not None], doc)
                 read.sort(key=lambda r: (r["page"] is None, r["page"] or 0, r["layout"] is None, r["layout"] or 0))
                 text = ""
                 for r in read:
-                    clean = _BROKEN.sub("", r["clean"])
-                    flat = "\n\n".join(" ".join(map(fixed, p.split())) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", clean) if p.strip())
+                    clean = mended(r["clean"], compound)
+                    flat = "\n\n".join(" ".join(fixed(t) for t in p.split()) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", clean) if p.strip())
                     text += flat + (" " if "continues" in r["found"] else "\n\n")
                 rows.append((number, text.strip()))
             yield pd.DataFrame(rows, columns=["example_no", "text"])
 
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"))
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"))
     return source.mapInPandas(join, "example_no long, text string")

@@ -249,3 +249,15 @@ def test_sentence_ends_do_not_hang_on_the_partitions(spark):
     df = spark.createDataFrame(rows, "pred_id long, pred_answer string")
     got = [sorted(tuple(r) for r in pairs.sentence_ends(df.repartition(n, "pred_id")).collect()) for n in (1, 9)]
     assert got[0] == got[1] == [("mill", 1, 9), ("old", 8, 8)]
+
+
+SCANNED = [(1, None, [("t1", "A low-\ncost gar-\nden of the town.", 1, 101)]), (2, None, [("t1", "The low-cost house and the low-cost garden, a garclen.", 1, 101)]), (3, None, [("t1", "garden " * 40, 1, 101)])]
+
+
+def _scanned(spark):
+    return spark.createDataFrame(SCANNED, "example_no long, doc_name string, text_quotes array<struct<quote_id:string,text:string,page_id:long,layout_id:long>>")
+
+
+def test_repair_keeps_the_hyphen_of_compounds(spark):
+    got = {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark)).collect()}
+    assert got[1] == "A low-cost garden of the town."
