@@ -405,31 +405,35 @@ def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "do
 def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `text`): the quotes of each example in the order of page and layout as continuous paragraphs, headers and page numbers out, broken words and sentences joined, misread words corrected."""
     examples, keep = _mending(examples, quotes, name, most)
-    fixes = corrections(word_counts(examples, quotes, keep)).limit(most + 1).toLocalIterator()
-    table = {r["word"]: r["target"] for r in fixes}
-    if len(table) > most:
-        raise ValueError("more misread words than may go to a worker; raise `most` with the workers' memory")
-    known = examples.sparkSession.sparkContext.broadcast(table)
+    fixes = corrections(word_counts(examples, quotes, keep))
 
-    def fixed(token: str) -> str:
+    def spell(own: list[dict], doc: str | None, k: Iterable[str] | None) -> Iterator[str]:
+        compound = _table(k) if keep.value is None else keep.value
+        for r in read_quotes(own, doc):
+            yield from (_CORE.match(t).group(2).lower() for t in mended(r["clean"], compound).split())
+
+    examples, known = _given(examples, fixes, spell, "_fix", quotes, name, most)
+
+    def fixed(token: str, table: dict[str, str]) -> str:
         m = _CORE.match(token)
-        core = known.value.get(m.group(2).lower())
+        core = table.get(m.group(2).lower())
         return token if core is None else m.group(1) + (core.upper() if m.group(2).isupper() and len(core) > 1 else core.capitalize() if m.group(2)[0].isupper() else core) + m.group(3)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for number, doc, quotes_, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]):
+            for number, doc, quotes_, k, own in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"], pdf["f"]):
                 compound = _table(k) if keep.value is None else keep.value
+                table = _table(own) if known.value is None else known.value
                 read = read_quotes([dict(q) for q in quotes_ if q is not None], doc)
                 read.sort(key=lambda r: (r["page"] is None, r["page"] or 0, r["layout"] is None, r["layout"] or 0))
                 text = ""
                 for r in read:
                     clean = mended(r["clean"], compound)
-                    flat = "\n\n".join(" ".join(fixed(t) for t in p.split()) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", clean) if p.strip())
+                    flat = "\n\n".join(" ".join(fixed(t, table) for t in p.split()) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", clean) if p.strip())
                     text += flat + (" " if "continues" in r["found"] else "\n\n")
                 rows.append((number, text.strip()))
             yield pd.DataFrame(rows, columns=["example_no", "text"])
 
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"))
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"), F.col("_fix").alias("f"))
     return source.mapInPandas(join, "example_no long, text string")

@@ -261,3 +261,9 @@ def _scanned(spark):
 def test_repair_keeps_the_hyphen_of_compounds(spark):
     got = {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark)).collect()}
     assert got[1] == "A low-cost garden of the town."
+
+
+def test_repair_beyond_the_bound_of_corrections(spark):
+    got = {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark), most=0).collect()}
+    assert got == {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark)).collect()}
+    assert got[1] == "A low-cost garden of the town." and got[2].endswith("a garden.")
