@@ -98,3 +98,13 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.count("*").alias("containers"), F.sum("items").alias("pieces"), F.sum("used").alias("tokens"),
         F.ceil(F.sum("used") / capacity).cast("long").alias("least_containers"), (F.sum("used") / (F.count("*") * capacity)).alias("fill"), F.max("used").alias("fullest"),
     )
+
+
+def room(packed: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row: items, tokens and pieces packed, whether every container holds at most its capacity (`fits`), and whether every item has all its pieces, full but for the last (`whole`)."""
+    full = packed.groupBy("shard", "container").agg(F.sum("size").alias("used")).select((F.col("used") <= capacity).alias("fits"))
+    own = packed.groupBy(id_col).agg(F.count("*").alias("here"), F.max("pieces").alias("pieces"), F.sum("size").alias("tokens"), F.countDistinct("piece").alias("kinds"))
+    whole = (F.col("here") == F.col("pieces")) & (F.col("kinds") == F.col("pieces")) & (F.ceil(F.col("tokens") / capacity) == F.col("pieces"))
+    both = full.unionByName(own.select("tokens", "pieces", whole.alias("whole")), allowMissingColumns=True)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "pieces")]
+    return both.agg(F.count("tokens").alias("items"), *sums, *[F.coalesce(F.bool_and(c), F.lit(True)).alias(c) for c in ("fits", "whole")])

@@ -430,7 +430,7 @@ def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_na
                 text = ""
                 for r in read:
                     clean = mended(r["clean"], compound)
-                    flat = "\n\n".join(" ".join(fixed(t, table) for t in p.split()) for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", clean) if p.strip())
+                    flat = "\n\n".join(" ".join(fixed(t, table) for t in p.split()) for p in re.split(r"\n[ \t]*\n", clean) if p.strip())
                     text += flat + (" " if "continues" in r["found"] else "\n\n")
                 rows.append((number, text.strip()))
             yield pd.DataFrame(rows, columns=["example_no", "text"])

@@ -12,14 +12,15 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LIMIT = 1500
 OVERLAP = 150
 LEVELS = ("paragraph", "sentence", "word")
 
-_BLANK_LINES = re.compile(r"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+")
+_BREAK = r"(?:\r\n|\n|\r(?!\n))"
+_BLANK_LINES = re.compile(rf"{_BREAK}(?:[ \t]*{_BREAK})+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
 _WHITE = re.compile(r"\s+")
 
@@ -110,3 +111,17 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
 def quotes(examples: DataFrame, field: str = "text_quotes") -> DataFrame:
     """One row per text quote of every example."""
     return examples.select("example_no", F.explode(field).alias("q")).select("example_no", "q.quote_id", "q.text", "q.page_id", "q.layout_id")
+
+
+def rebuilt(pieces: DataFrame, *key: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """Per text, what its pieces of `split_oversized` say of it; `key` must tell the texts apart.
+
+    `digest` and `chars` are of the text put together again, `fits` and `repeats` tell whether every piece keeps the
+    limit and repeats at most `overlap` characters of the one before, `times` is 1. A null text counts as an empty one.
+    """
+    before = F.lag("stop").over(Window.partitionBy(*key).orderBy("start"))
+    new = pieces.select(*key, "start", "piece", (F.coalesce(before, F.lit(0)) - F.col("start")).alias("again")).withColumn("part", F.expr("substring(coalesce(piece, ''), again + 1)"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"]), "")  # of one text
+    fits, repeats = F.max(F.coalesce(F.char_length("piece"), F.lit(0))) <= limit, (F.min("again") >= 0) & (F.max("again") <= overlap)
+    whole = new.groupBy(*key).agg(text.alias("text"), fits.alias("fits"), repeats.alias("repeats"))
+    return whole.select(*key, F.md5("text").alias("digest"), F.char_length("text").cast("long").alias("chars"), "fits", "repeats", F.lit(1).cast("long").alias("times"))

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -36,7 +38,7 @@ def test_pieces_cover_the_text(text):
     assert end == len(text)
 
 
-@pytest.mark.parametrize("text, want", [("a" * 10 + "\n \t\n" + "b" * 10, "paragraph"), ("a" * 8 + ". " + "b" * 9 + ".", "sentence"), ("aaaa bbbb cccc", "word"), ("a" * 30, "none"), ("漢字。" * 6, "sentence")])
+@pytest.mark.parametrize("text, want", [("a" * 10 + "\n \t\n" + "b" * 10, "paragraph"), ("a" * 8 + ". " + "b" * 9 + ".", "sentence"), ("aaaa bbbb cccc", "word"), ("a" * 30, "none"), ("漢字。" * 6, "sentence"), ("aaaa\r\nbbbb\r\ncccc", "word"), ("a" * 10 + "\r\n \r\n" + "b" * 10, "paragraph"), ("a" * 10 + "\r\r\n" + "b" * 10, "paragraph")])
 def test_boundary_levels(text, want):
     assert splitting.sufficient_level(text, splitting.boundaries(text), 12) == want
 
@@ -47,6 +49,13 @@ def test_split_table(spark):
     assert {r["id"] for r in rows} == {1, 2, 3} and all(len(r["piece"] or "") <= 1500 for r in rows)
 
 
+def test_pieces_make_the_text_again(spark):
+    texts = [None, "", "word\r\n" * 700, "a. " * 600 + "\n\n" + "b" * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r["id"]: r for r in splitting.rebuilt(splitting.split_oversized(df), "id").collect()}
+    assert all(got[i]["chars"] == len(t or "") and got[i]["digest"] == hashlib.md5((t or "").encode()).hexdigest() and got[i]["fits"] and got[i]["repeats"] for i, t in enumerate(texts))
+
+
 def test_document_keys():
     same = ["scans/b/Falégate_Guía 2000.pdf", "in\\FALÉGATE-GUÍA-2000.TIFF", "falégate guía 2000 .pdf "]
     assert len({splits.document_key(s) for s in same}) == 1
@@ -152,13 +161,18 @@ def test_scan_noise(spark):
     assert scans.repair(df).where("example_no = 1").first()["text"] == "The garden was open and the boats were there."
 
 
-def test_multi_select_against_sorting(spark):
+@pytest.mark.parametrize("block", [500_000, 3])
+def test_multi_select_against_sorting(spark, monkeypatch, block):
+    monkeypatch.setattr(percentiles, "PART_ROWS", 700)
     rng = np.random.default_rng(5)
-    values = {1: rng.lognormal(size=3000), 2: np.repeat([1.0, 2.0, 3.0], 400), 3: np.array([4.0])}
+    values = {1: rng.lognormal(size=3000), 2: np.repeat([1.0, 2.0, 3.0], 400), 3: np.array([4.0]), 4: rng.normal(size=90), 5: np.r_[np.full(900, 7.0), rng.normal(size=50)]}
     df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs], "g long, v double").repartition(6)
-    ranks = [(g, int(r)) for g, vs in values.items() for r in {1, len(vs), len(vs) // 2 + 1, max(1, len(vs) // 3)}]
-    got = {(r[0], r[1]): r[2] for r in percentiles.select_ranks(df, spark.createDataFrame(ranks, "g long, rank long"), finish=200).collect()}
+    parts, trace = (0.0, 0.01, 1 / 3, 0.5, 0.9, 0.99, 1.0), []
+    got = {(r[0], r[1]): r[2] for r in percentiles.select_ranks(df, parts, finish=8, block=block, trace=trace).collect()}
+    ranks = {(g, max(1, int(np.ceil(p * len(vs) - 1e-9)))) for g, vs in values.items() for p in parts}
     assert got == {(g, r): float(np.sort(values[g])[r - 1]) for g, r in ranks}
+    assert len(trace) >= 6 and trace[-1][1] < 400
+    assert percentiles.select_ranks(df.limit(0), parts).count() == 0
 
 
 def test_percentiles_of_dirty_rows(spark):
@@ -190,7 +204,7 @@ def test_combined_tail_against_exact(spark):
     got = percentiles.combine(percentiles.percentiles(df, spark.createDataFrame([("r", "m")], "run_id string, pruning_mode string")), "pruning_mode", "metric").first()
     every = np.sort([v for _, v in times])
     for p in (0.5, 0.9, 0.95, 0.99):
-        assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"], side="right") / len(every) - p) <= min(1 / 200, (1 - p) / 50) + 1e-4
+        assert abs(np.searchsorted(every, got[f"p{round(p * 1000)}"], side="right") / len(every) - p) <= min(1 / percentiles.GRID, (1 - p) / percentiles.TAIL) + percentiles.LAST + 1e-4
 
 
 def _has_stretch(item, doc):
