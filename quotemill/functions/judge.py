@@ -62,10 +62,16 @@ def judge_prompt(question: Column, gold: Column, pred: Column, evidence: Column)
 
 
 def judge_verdict(reply: Column) -> Column:
-    """The six fields of a reply; what is no JSON object gives zeros and the reason with the first 200 characters; a field that is no number gives 0."""
-    text = F.trim(F.coalesce(reply, F.lit("")))
-    v = F.try_parse_json(text)
-    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & text.endswith("}")  # the parser stops after the first value
+    """The six fields of a reply, white space around it aside.
+
+    What is no JSON object, or more than one, gives zeros and the reason with the first 200 characters; a field that is
+    absent or no number gives 0, an absent text an empty one.
+    """
+    text = F.regexp_replace(F.coalesce(reply, F.lit("")), f"^{WS}+|{WS}+$", "")
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))  # so that what follows the object is seen
+    v = F.try_variant_get(listed, "$[0]", "variant")
+    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & text.endswith("}")
+    ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & alone
 
     def number(name: str) -> Column:
         return F.when(ok, F.coalesce(F.try_variant_get(v, f"$.{name}", "int"), F.lit(0))).otherwise(0).alias(name)

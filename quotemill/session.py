@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where that is unset (tests), a folder of our own."""
+    """Use the shared folder named in spark.checkpoint.dir; only on one machine, where that is unset, a folder of our own, removed at exit.
+
+    On a cluster without that setting it raises: a folder of one machine would not outlive it.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="quotemill-"))
+    if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="quotemill-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,5 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """Write df as a table in the checkpoint folder, a folder per value of `by`, and go on from there: what is asked of one value reads no other."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -121,7 +121,21 @@ def test_nested_children(spark):
     first = {("image", 0, -1, "i1"), ("tile", 0, 0, "i1"), ("tile", 0, 1, "i1"), ("timing", -1, -1, "a")}
     assert got == {(0, 0, *x) for x in first} | {(1, 0, *x) for x in first} | {(1, 2, "image", 0, -1, "i2"), (1, 2, "tile", 0, 0, "i2")}
     assert nested.child_index(df.limit(0)).count() == 0
-    assert set(nested.subtype_tables(nested.flatten_lines(df))) == {"image", "tile", "timing", "metric"}
+    typed = nested.tables(nested.flatten_lines(df))
+    assert set(typed) == set(nested.TABLES) and nested.supertype(typed, "record").count() == 3
+    tile = typed["tile", "pruning_kept"].orderBy("line_id", "row_pos", "sub_pos").first()
+    assert (tile["keep_index"], tile["score"], tile["box"]) == (3, None, None)
+
+
+def test_lines_that_are_hard_to_read(spark):
+    deep = "[" * 100_000
+    hard = {"q_id": "\ud800x", "question": deep, "selected_img_quotes": [{"quote_id": "i", "page_id": 1e30, "layout_id": 10**400, "img_path": deep, "visual_pruning": {"keep_indices": [10**400, "1e30", {"a": 1}, None], "scores": [10**400]}}], "timing": {"total_sec": 10**400, "\udc00": "x"}, "metrics": deep}
+    lines = [json.dumps(hard), '{"q_id":' + "9" * 5000 + ',"timing":{"total_sec":1}}', deep, '{"a":' + deep + "]" * 100_000 + "}", '{"rows":[1,"x",[],{"timing":"{}"}]}']
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = sorted(tuple(r)[0:5] for r in nested.child_index(df).collect())
+    assert got == [(0, 0, "image", 0, -1), *[(0, 0, "tile", 0, k) for k in range(4)], (0, 0, "timing", -1, -1), (0, 0, "timing", -1, -1), (1, 0, "timing", -1, -1)]
+    image = nested.subtype(nested.tables(nested.flatten_lines(df)), "image").first()
+    assert image["page_id"] is None and image["layout_id"] is None and image["variant"] == "image_pruned"
 
 
 def test_requests(spark):
@@ -141,13 +155,14 @@ def test_every_pruning_has_a_row(spark):
     kept = {"mode": "m", "tokens_before": 9, "tokens_after": "2", "keep_indices": "[1, 2]", "keep_boxes": [[0, 0, 1, 1]], "rendered_image_path": "p.png"}
     record = {"selected_img_quotes": [{"quote_id": "i1", "visual_pruning": skipped}, {"quote_id": "i2", "visual_pruning": kept}, {"quote_id": "i3"}]}
     record["visual_pruning"] = [{"quote_id": "i3", "visual_pruning": {"mode": "b", "tokens_before": 7}}, {"quote_id": "lost", "visual_pruning": {"keep_indices": [4], "hook_required": False}}]
-    nodes = nested.flatten_lines(spark.createDataFrame([(1, json.dumps(record))], "line_id long, line string")).cache()
-    got = {r["name"]: r for r in nested.prunings(nodes).collect()}
+    typed = nested.tables(nested.flatten_lines(spark.createDataFrame([(1, json.dumps(record))], "line_id long, line string")))
+    got = {r["name"]: r for r in nested.subtype(typed, "pruning").collect()}
     assert {n: (r["variant"], r["pos"], r["sub_pos"]) for n, r in got.items()} == {"i1": ("pruning_skipped", 0, -1), "i2": ("pruning_rendered", 1, -1), "i3": ("pruning_bare", 2, 0), "lost": ("pruning_hooked", -1, 1)}
     assert got["i1"]["reason"] == "small" and got["i1"]["skipped"] is True and "probe" in got["i1"]["rest"] and got["i2"]["keep_boxes"] == [[0, 0, 1, 1]] and got["i2"]["tokens_after"] == 2 and got["i2"]["keep_indices"] == [1, 2]
-    assert "reason" not in nested.pruning_tables(nodes)["pruning_rendered"].columns and got["lost"]["hook_required"] is False and got["i3"]["rest"] is None
+    assert "reason" not in typed["pruning", "pruning_rendered"].columns and got["lost"]["hook_required"] is False and got["i3"]["rest"] is None
 
 
 def test_states_come_from_below():
     assert nested.PREDICTIONS.state({"quote_id": "i", "layout_id": 1, "visual_pruning": {"keep_indices": "[1]"}}) == "image_pruned"
+    assert nested.PREDICTIONS.state({"q_id": "1", "timing": {"total_sec": 1}, "metrics": {"em": 1}}) == "record_measured"
     assert nested.PREDICTIONS.state({"quote_id": "i", "layout_id": 1, "visual_pruning": "none"}) == nested.PREDICTIONS.state({"keep_indices": 3}) == "other"
