@@ -79,9 +79,13 @@ def _p9_levels(s: SparkSession, d: str) -> DataFrame:
     return reading.graded(table(s, d, "documents")).select("doc_id", "level", F.round("posterior", 6).alias("posterior"))
 
 
+def _p9_agreement(s: SparkSession, d: str) -> DataFrame:
+    return reading.agreement(table(s, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p2_rebuilt": _p2_rebuilt, "p3_percentiles": _p3_percentiles, "p3_combined": _p3_combined, "p3_error": _p3_error, "p4_found": _p4_found, "p4_splits": _p4_splits, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
-    "p7_found": _p7_found, "p7_fill": _p7_fill, "p7_room": _p7_room, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels,
+    "p7_found": _p7_found, "p7_fill": _p7_fill, "p7_room": _p7_room, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels, "p9_agreement": _p9_agreement,
 }
 
 _WS = r"[\x{e000}\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

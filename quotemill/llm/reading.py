@@ -1,10 +1,10 @@
 """Reading level of each text, from unigram language models per level.
 
-The models are additively smoothed unigram distributions over the words of a text, its sentence lengths (one token a
-sentence) and its word lengths (one token a word), one model a level. They are fitted on texts seeded by a formula
-(words per sentence and letters per word), a bounded and documented sample (`fit_rows`, chosen by hash). Every text is
-then scored and gets the level of the highest posterior. `graded` keeps, for the exact check of `clear_cases`, the
-levels whose posterior per token is within `slack` of the best, so a text near a border is not lost to the models.
+One additively smoothed unigram distribution a level over the words of a text and the ends of its sentences. The models
+are fitted on texts seeded by a formula (words per sentence and letters per word), a bounded and documented sample
+(`fit_rows`, chosen by hash); fitted on at most half of the texts, the other half tells how far to trust them
+(`agreement`). Every text is then scored and gets the level of the highest posterior; the formula has no part in that.
+`clear_cases` takes the texts by what the models say of easy against hard, and lets through those whose figures bear it out.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.textkit import VOTES
@@ -38,8 +38,7 @@ _QUOTE_ID = re.compile(r"\[(?:text|image|img|quote)\s*\d+\](?:\s*\((?:page|p)[^)
 _LINE_END = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’‐-][^\W\d_]+)*")
 _END = re.compile(r"[.!?…][\"'”’»)\]]*$")
-_OF_LENGTH = [f"\0w{n}" for n in range(21)]
-_OF_SENTENCE = [f"\0s{n}" for n in range(31)]
+_SENTENCE = "\0end"
 _TERMINAL = re.compile(r"[.!?…:;,][\"'”’»)\]]*$")
 
 
@@ -99,9 +98,8 @@ def formula_level(sentences: int, words: int, letters: int) -> str:
     return "medium"
 
 
-def _tokens(lengths: list[int], words: list[str], counts: Counter) -> list[tuple[str, int]]:
-    by_length = Counter(map(len, words)).items()
-    return [*counts.items(), *((_OF_LENGTH[min(k, 20)], n) for k, n in by_length), *((_OF_SENTENCE[min(k, 60) // 2], n) for k, n in Counter(lengths).items())]
+def _tokens(sentences: int, counts: Counter) -> list[tuple[str, int]]:
+    return [*counts.items(), (_SENTENCE, sentences)]
 
 
 def _english(counts: Counter) -> bool:
@@ -123,14 +121,18 @@ def _measured(text: str | None, least_words: int):
     return (lengths, words, counts, letters) if _english(counts) else None
 
 
-def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30) -> dict[str, tuple[float, ...]]:
+def _sampled(documents: DataFrame, fit_rows: int, most: float = 1.0) -> Column:
+    """Whether a text belongs to those the models are fitted on: about `fit_rows`, and at most the share `most`."""
+    share = min(most, fit_rows / max(1, documents.count()))
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2**62)) < int(share * 2**62)
+
+
+def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30, most: float = 1.0) -> dict[str, tuple[float, ...]]:
     """Log-probabilities of each token by level, and under '' those of an unseen token. Priors are equal.
 
     The vocabulary is bounded by the sample, so it may go to the driver.
     """
-    rows = documents.count()
-    share = 2**62 if rows <= fit_rows else int(fit_rows / rows * 2**62)
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**62)) < share).select("text")
+    sample = documents.where(_sampled(documents, fit_rows, most)).select("text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -138,7 +140,7 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30) -
             for text in pdf["text"]:
                 if m := _measured(text, least_words):
                     level = formula_level(len(m[0]), len(m[1]), m[3])
-                    for token, n in _tokens(*m[:3]):
+                    for token, n in _tokens(len(m[0]), m[2]):
                         total[level, token] += n
         yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["level", "token", "n"])
 
@@ -149,13 +151,13 @@ def fit(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30) -
     return model | {"": tuple(math.log(SMOOTHING / total) for total in totals)}
 
 
-def graded(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30, slack: float = 1.0) -> DataFrame:
-    """(`doc_id`, `level`, `posterior`, `near`, `sentences`, `words`, `letters`) of each English text with enough prose.
+def graded(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30, most: float = 1.0) -> DataFrame:
+    """(`doc_id`, `level`, `posterior`, `lean`, `sentences`, `words`, `letters`) of each English text with enough prose.
 
-    `level` has the highest posterior (a tie goes to the easier); `near` are the levels within `slack` nats a token.
-    Null, empty, short and foreign texts have no row.
+    `level` has the highest posterior, `lean` is the likelier of easy and hard; a tie goes to the easier. Null, empty,
+    short and foreign texts have no row; a level without a text in the sample is as likely as its smoothing makes it.
     """
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, fit_rows, least_words))
+    model = documents.sparkSession.sparkContext.broadcast(fit(documents, fit_rows, least_words, most))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         logs = model.value
@@ -167,22 +169,30 @@ def graded(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30
                 if not m:
                     continue
                 a = b = c = 0.0
-                size = 0
-                for token, n in _tokens(*m[:3]):
+                for token, n in _tokens(len(m[0]), m[2]):
                     x, y, z = logs.get(token, unseen)
-                    a, b, c, size = a + n * x, b + n * y, c + n * z, size + n
+                    a, b, c = a + n * x, b + n * y, c + n * z
                 each = (a, b, c)
                 top = max(each)
-                weights = [math.exp(v - top) for v in each]
-                out.append((doc_id, LEVELS[each.index(top)], 1 / sum(weights), [x for x, v in zip(LEVELS, each) if top - v <= slack * size], len(m[0]), len(m[1]), m[3]))
-            yield pd.DataFrame(out, columns=["doc_id", "level", "posterior", "near", "sentences", "words", "letters"])
+                out.append((doc_id, LEVELS[each.index(top)], 1 / sum(math.exp(v - top) for v in each), "easy" if a >= c else "hard", len(m[0]), len(m[1]), m[3]))
+            yield pd.DataFrame(out, columns=["doc_id", "level", "posterior", "lean", "sentences", "words", "letters"])
 
-    schema = "doc_id long, level string, posterior double, near array<string>, sentences long, words long, letters long"
+    schema = "doc_id long, level string, posterior double, lean string, sentences long, words long, letters long"
     return documents.select("doc_id", "text").mapInPandas(score, schema)
 
 
-def clear_cases(documents: DataFrame, **kw) -> DataFrame:
-    """(`doc_id`, `level`) of the texts the models grade easy or hard, or nearly so, and whose formula says the same."""
+def _by_formula() -> Column:
     per_sentence, per_word = F.col("words") / F.col("sentences"), F.col("letters") / F.col("words")
-    exact = F.when((per_sentence <= 15) & (per_word <= 4.0), "easy").when((per_sentence >= 20) & (per_word >= 5.5), "hard")
-    return graded(documents, **kw).withColumn("exact", exact).where("exact is not null and array_contains(near, exact)").select("doc_id", F.col("exact").alias("level")).distinct()
+    return F.when((per_sentence <= 15) & (per_word <= 4.0), "easy").when((per_sentence >= 20) & (per_word >= 5.5), "hard").otherwise("medium")
+
+
+def clear_cases(documents: DataFrame, **kw) -> DataFrame:
+    """(`doc_id`, `level`): the texts the models find easy rather than hard, or the reverse, and whose figures say that they are."""
+    return graded(documents, **kw).where(_by_formula() == F.col("lean")).select("doc_id", F.col("lean").alias("level")).distinct()
+
+
+def agreement(documents: DataFrame, fit_rows: int = FIT_ROWS, most: float = 0.5) -> DataFrame:
+    """(`formula`, `level`, `lean`, `texts`): how the models grade the texts they were not fitted on, against the formula."""
+    held_out = documents.where(~_sampled(documents, fit_rows, most)).select("doc_id")
+    told = graded(documents, fit_rows, most=most).join(held_out, "doc_id", "left_semi")
+    return told.groupBy(_by_formula().alias("formula"), "level", "lean").agg(F.count("*").alias("texts"))

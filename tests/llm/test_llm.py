@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quotemill.llm import leaks, packing, pairs, percentiles, reading, scans, splits, splitting
 
@@ -141,6 +142,14 @@ def test_reading_levels(spark):
     assert got == {(1, "easy"), (2, "hard")}
 
 
+def test_held_out_agreement(spark):
+    rng = np.random.default_rng(7)
+    short, long = "the cat sat on a mat in the hot sun and ran to us".split(), [w + x for w in ("administrat", "institut", "categoric", "parameter") for x in ("ionality", "ionalised", "isations")]
+    docs = [(i, " ".join(" ".join(rng.choice(w, n)) + "." for _ in range(8))) for i, (w, n) in enumerate([(short, 9), (long, 25)] * 40)]
+    got = {(r["formula"], r["lean"]): r["texts"] for r in reading.agreement(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("formula", "lean").agg(F.sum("texts").alias("texts")).collect()}
+    assert set(got) == {("easy", "easy"), ("hard", "hard")} and 20 < sum(got.values()) < 60
+
+
 def test_prose_only():
     text = "5.7 Spare sensor\n| a | 1 |\nTable 3. Thin rules, 2001–2004\n* point\ndoc://a/b?c=1\n[text7] (page 7, layout 47)\nThe cat sat. It ran."
     assert reading.prose_paragraphs(text) == ["The cat sat. It ran."]
