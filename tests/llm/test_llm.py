@@ -144,7 +144,7 @@ def test_reading_levels(spark):
 
 def test_held_out_agreement(spark):
     rng = np.random.default_rng(7)
-    short, long = "the cat sat on a mat in the hot sun and ran to us".split(), [w + x for w in ("administrat", "institut", "categoric", "parameter") for x in ("ionality", "ionalised", "isations")]
+    short, long = "the cat sat on a mat in the hot sun and ran to us".split(), [w + x for w in ("administrat", "institut", "categoric", "parameter") for x in ("ionality", "ionalised", "isations")] + ["the", "of"]
     docs = [(i, " ".join(" ".join(rng.choice(w, n)) + "." for _ in range(8))) for i, (w, n) in enumerate([(short, 9), (long, 25)] * 40)]
     got = {(r["formula"], r["lean"]): r["texts"] for r in reading.agreement(spark.createDataFrame(docs, "doc_id long, text string")).groupBy("formula", "lean").agg(F.sum("texts").alias("texts")).collect()}
     assert set(got) == {("easy", "easy"), ("hard", "hard")} and 20 < sum(got.values()) < 60
