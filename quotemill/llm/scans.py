@@ -3,9 +3,13 @@
 Misread words come from the whole corpus by anagram hashing: the hash of a word is the sum of a value per letter, so a
 confusion such as `cl` for `d` changes it by a fixed difference, whatever the word. Rare words, with the differences of
 the confusions they could hold added, are joined on the hash with the frequent words; the candidates are ranked and the
-best that really differs by the confusions is the correction. Running headers and page numbers are lines at the edges
-of quotes (or between broken lines) that carry the document's title, a chapter title or the page's number; hyphens and
-continuations are read from how lines and quotes end and begin.
+best that really differs by the confusions is the correction; words with figures in them that differ by more are joined
+on a folded form. Running headers are lines that stand at the edges of quotes of several pages of a document, carry its
+title, or, seen once, have the form of a chapter title; page numbers are those of the quote's page. A hyphen at a break
+is kept or dropped by how often the corpus has the word with and without; continuations are read from how quotes end
+and begin.
+
+The corpus is counted once, in the JVM, into a table of its distinct tokens; all evidence on words comes from that table.
 """
 
 from __future__ import annotations
@@ -18,11 +22,14 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quotemill.functions.text import WS
 from quotemill.llm.splits import document_key
 from quotemill.llm.textkit import VOTES
+from quotemill.session import cut
 
 #: Fixed values: (as scanned, as printed).
 CONFUSIONS = (("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("6", "b"), ("6", "g"), ("9", "g"), ("8", "b"), ("@", "a"), ("c", "e"), ("rn", "m"), ("cl", "d"), ("li", "h"), ("ii", "u"), ("vv", "w"), ("l", "i"), ("i", "l"))
@@ -30,12 +37,15 @@ HYPHENS = "-‐‑¬\xad"
 
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])\s*(?=\w)")
+#: The same pattern for the JVM, which puts MARK in place of a break.
+_BROKEN_JVM = rf"(?<=[\p{{L}}\p{{N}}_])[{HYPHENS}][ \t]*(?:\r\n|[\n\r\x0B\f\x85\u2028\u2029])\s*(?=[\p{{L}}\p{{N}}_])"
+MARK = "\x01"
 _LEFT = re.compile(r"\w+$")
 _WORD = re.compile(r"\w+")
 _HYPHENED = re.compile(r"(\w+)[-‐‑](?=(\w+))")
 _CORE = re.compile(r"^([^\w@]*)(.*?)([^\w@]*)$", re.S)
 _EDGES = re.compile(r"^[^\w@]+|[^\w@]+$")
-_INNER = re.compile(rf"[{HYPHENS}'’–—/]")
+_INNER = re.compile(rf"([{HYPHENS}'’–—/])")
 _ROMAN = re.compile(r"(?=[ivxlc])(?:c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})$")
 _PAGE = re.compile(r"^[\W_]*(?:([^\W\d_@]{1,7})[.:]?\s+|)(\d{1,4}|[ivxlc]{1,7})(?:\s*(?:/|of|sur|von|de|di|aus)\s*\d{1,4})?[\W_]*$", re.I)
 _WITH_NUMBER = re.compile(r"^\s*(?:(\d{1,4}|[ivxlc]{1,7})\s{2,}(\S.*?)|(\S.*?)(?:\s+[–—-]\s+|\s{2,})(\d{1,4}|[ivxlc]{1,7}))\s*$")
@@ -96,6 +106,11 @@ def is_page_number(line: str, page: int | None) -> bool:
     return _is_page(m.group(2), page) and (not word or any(_near(fold(word), fold(w), 1 if len(w) > 3 else 0) for w in _PAGE_WORDS))
 
 
+def _bare_number(line: str) -> bool:
+    """A number without any dress, which on an unnumbered page might be anything."""
+    return line.strip().isdigit()
+
+
 def split_number(line: str, page: int | None) -> tuple[str, bool]:
     """A line without the page number that stands beside a header, and whether it had one."""
     m = _WITH_NUMBER.match(line)
@@ -107,14 +122,29 @@ def split_number(line: str, page: int | None) -> tuple[str, bool]:
 
 
 def is_title(line: str, key: str | None) -> bool:
-    """Whether a line is the title that the document's name begins with."""
-    if not key or not 6 <= len(line) <= 90 or line.endswith((".", ",", ";")) or any(w[0].islower() for w in line.split() if len(w) > 3):
+    """Whether a line is the title that the document's name begins with; one without its year must be in title case."""
+    if not key or not 6 <= len(line) <= 90 or line.endswith((".", ",", ";")):
+        return False
+    words = line.split()
+    whole = len(words) > 1 and len(words[-1]) == 4 and sum(c.isdigit() for c in words[-1]) >= 2
+    if not whole and any(w[0].islower() for w in words if len(w) > 3):
         return False
     a = fold(line)
     b = fold(key)[: len(a)]
     return len(a) >= 8 and (a == b or _near(a, b, 1 + len(a) // 12))
 
 
+def header_key(line: str, page: int | None, key: str | None) -> str | None:
+    """What tells a document's header lines apart: its key and the folded line without a page number; None for a line that is none."""
+    rest, _ = split_number(line, page)
+    words = rest.split()
+    if not key or not 6 <= len(rest) <= 60 or len(words) < 2 or not rest[-1].isalnum() or any(c in rest for c in "|:;,.") or _HEADING.match(rest):
+        return None
+    if 2 * sum(w[0].isupper() or not w[0].isalpha() for w in words) < len(words) or not (rest[0].isupper() or rest[0].isdigit()) or not any(c.isalpha() for c in rest):
+        return None
+    return f"{key}\x1f{fold(rest)}"
+
+
 def looks_like_chapter(line: str) -> bool:
     """A short line in title case or capitals, without figures or a full stop."""
     if len(line) > 60 or not line or not line[-1].isalpha() and line[-1] not in "015@69" or any(c in line for c in ",;:|()[]„“\""):
@@ -133,8 +163,11 @@ def page_of(page: object, layout: object) -> int | None:
     return int(layout) // 100 if layout is not None else None
 
 
-def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
-    """Per quote: the noise that can be seen within its example, and its text without headers and page numbers."""
+def read_quotes(quotes: list[dict], name: str | None, repeated: Container[str] = ()) -> list[dict]:
+    """Per quote: the noise that can be seen within its example, and its text without headers and page numbers.
+
+    `repeated` has the `header_key` of lines that several pages carry.
+    """
     key = document_key(name)
     out = []
     for q in quotes:
@@ -150,7 +183,7 @@ def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
                 if not bare or len(bare) > 90 or _TABLE.search(bare):
                     kept.append(line)
                     continue
-                if is_page_number(bare, page) and (page is not None or i in (0, 1, len(lines) - 1)):
+                if is_page_number(bare, page) and (page is not None or i in (0, 1, len(lines) - 1) and not _bare_number(bare)):
                     found.add("pageno")
                     continue
                 rest, numbered = split_number(line, page)
@@ -159,7 +192,7 @@ def read_quotes(quotes: list[dict], name: str | None) -> list[dict]:
                     if numbered:
                         found.add("pageno")
                     continue
-                if looks_like_chapter(rest):
+                if looks_like_chapter(rest) or repeated and header_key(line, page, key) in repeated:
                     found.add("header")
                     if numbered:
                         found.add("pageno")
@@ -199,8 +232,20 @@ def goes_on(text: str, after: str) -> bool:
     return not end[-1].isdigit() and (known > 0 or len(tail) <= 3) and "\n" in end
 
 
+def is_code(token: str) -> bool:
+    """Whether a part of the token is in neither small nor capital letters nor begins with its only capital: no running text is written so."""
+    for part in _INNER.split(token)[::2]:
+        letters = "".join(c for c in part if c.isalpha())
+        if not letters.islower() and not letters.isupper() and letters[1:].lower() != letters[1:]:
+            return True
+    return False
+
+
 def words_in(token: str) -> list[str]:
-    return [w for part in _INNER.split(_EDGES.sub("", token)) if len(w := _EDGES.sub("", part).lower()) >= 2]
+    """The words of a token in small letters; those of a code are none."""
+    if is_code(token):
+        return []
+    return [w for part in _INNER.split(_EDGES.sub("", token))[::2] if len(w := _EDGES.sub("", part).lower()) >= 2]
 
 
 def mended(text: str, keep: Container[str]) -> str:
@@ -214,42 +259,66 @@ def _around(m: re.Match) -> str:
     return f"{left}-{_WORD.match(m.string, m.end()).group()}".lower()
 
 
-def compounds(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
-    """(`word`): the words that stand on one line more often with a hyphen than joined, over the whole corpus."""
+def vocabulary(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
+    """(`token`, `n`): every run without white space in all quotes, and how often it occurs; MARK stands for a hyphen at a line break."""
+    texts = examples.where(F.col(quotes).isNotNull()).select(F.explode(F.col(f"{quotes}.text")).alias("t")).where("t is not null")
+    tokens = texts.select(F.explode(F.split(F.regexp_replace("t", _BROKEN_JVM, MARK), WS + "+")).alias("token"))
+    return cut(tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n")))
+
+
+def compounds(tokens: DataFrame) -> DataFrame:
+    """(`word`): the words that stand on one line more often with a hyphen than joined, from the `vocabulary`."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: Counter = Counter()
         for pdf in batches:
-            for texts in pdf["t"]:
-                for text in texts:
-                    if text:
-                        tokens.update(text.split())
-        with_hyphen: Counter = Counter()
-        joined: Counter = Counter()
-        for token, n in tokens.items():
-            low = token.lower()
-            for w in _WORD.findall(low):
-                joined[w] += n
-            for left, right in _HYPHENED.findall(low):
-                with_hyphen[f"{left}-{right}"] += n
-        rows = [(w.replace("-", ""), w, n, 0) for w, n in with_hyphen.items()] + [(w, None, 0, n) for w, n in joined.items()]
-        yield pd.DataFrame(rows, columns=["joined", "word", "h", "j"])
-
-    texts = examples.where(F.col(quotes).isNotNull()).select(F.col(f"{quotes}.text").alias("t"))
-    counts = texts.mapInPandas(count, "joined string, word string, h long, j long").groupBy("joined", "word").agg(F.sum("h").alias("h"), F.sum("j").alias("j"))
-    counts = counts.withColumn("j", F.sum("j").over(Window.partitionBy("joined")))
-    return counts.where("word is not null and h > j").select("word")
+            rows = []
+            for token, n in zip(pdf["token"], pdf["n"]):
+                low = token.lower()
+                rows += [(w, None, 0, n) for w in _WORD.findall(low)]
+                rows += [(left + right, f"{left}-{right}", n, 0) for left, right in _HYPHENED.findall(low)]
+            yield pd.DataFrame(rows, columns=["joined", "word", "h", "j"])
+
+    counts = tokens.mapInPandas(count, "joined string, word string, h long, j long").groupBy("joined", "word").agg(F.sum("h").alias("h"), F.sum("j").alias("j"))
+    with_hyphen = counts.where("word is not null").select("joined", "word", "h")
+    both = with_hyphen.join(counts.where("word is null").select("joined", F.col("j").alias("j")), "joined", "left")
+    return both.where("h > coalesce(j, 0)").select("word")
+
+
+def repeated_lines(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", least: int = 3) -> DataFrame:
+    """(`word`): the `header_key` of every line that stands at the edge of quotes of at least `least` pages of a document."""
+    lines = F.split(F.col("q.text"), r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]")
+    edges = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
+    edges = F.filter(edges, lambda x: F.length(x).between(6, 90) & x.rlike(r"^\s*[\p{Lu}\p{N}]") & x.rlike(r"[\p{L}\p{N}]\s*$"))
+    some = examples.select(F.col(name).alias("d"), F.explode(quotes).alias("q")).where("d is not null").select("d", F.col("q.page_id").alias("p"), F.col("q.layout_id").alias("l"), edges.alias("x")).where("size(x) > 0")
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, str | None] = {}
+        for pdf in batches:
+            if len(memo) > 100_000:
+                memo.clear()
+            rows = []
+            for d, p, at, own in zip(pdf["d"], pdf["p"], pdf["l"], pdf["x"]):
+                page = page_of(*(None if x is None or x != x else x for x in (p, at)))
+                if d not in memo:
+                    memo[d] = document_key(d)
+                rows += [(k, page) for x in own if page is not None and (k := header_key(x, page, memo[d]))]
+            yield pd.DataFrame(rows, columns=["word", "page"]).astype({"page": "Int64"})
+
+    found = some.mapInPandas(keys, "word string, page long").distinct()
+    return found.groupBy("word").agg(F.count("*").alias("pages")).where(F.col("pages") >= least).select("word")
 
 
 def _table(own: Iterable[str] | None) -> dict[str, str]:
     return dict(x.split(" ") for x in own) if own is not None else {}
 
 
-def _given(examples: DataFrame, words: DataFrame, spell: Callable[[list[dict], str | None, Iterable[str] | None], Iterable[str]], column: str, quotes: str, name: str, most: int) -> tuple[DataFrame, Broadcast]:
+def _given(examples: DataFrame, words: DataFrame, spell: Callable[[list[dict], str | None, dict], Iterable[str]], column: str, quotes: str, name: str, most: int, known: dict[str, Broadcast]) -> tuple[DataFrame, Broadcast]:
     """The examples with a `column`, and a broadcast dict of `words` (`word`, `target`), if they are at most `most`.
 
-    Beyond that the broadcast holds None, and the column "word target" for those words that `spell` finds in the example.
+    Beyond that the broadcast holds None, and the column "word target" for those words that `spell` finds in the example,
+    given the tables `known` so far.
     """
+    words = cut(words)
     few = words.limit(most + 1).toLocalIterator() if most >= 0 else None
     table = {r["word"]: r["target"] for r in few} if few is not None else None
     spark = examples.sparkSession
@@ -258,46 +327,69 @@ def _given(examples: DataFrame, words: DataFrame, spell: Callable[[list[dict], s
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(e, w) for e, d, qs, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]) for w in set(spell([dict(q) for q in qs if q is not None], d, k))]
+            rows = []
+            for i, (e, d, qs) in enumerate(zip(pdf["e"], pdf["d"], pdf["q"])):
+                tables = {c: _table(pdf[c].iloc[i]) if b.value is None else b.value for c, b in known.items()}
+                rows += [(e, w) for w in set(spell([dict(q) for q in qs if q is not None], d, tables))]
             yield pd.DataFrame(rows, columns=["e", "word"])
 
-    kept = F.col("_keep") if "_keep" in examples.columns else F.lit(None).cast("array<string>")
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), kept.alias("k"))
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), *known)
     own = source.mapInPandas(pairs, "e long, word string").join(words, "word")
     own = own.groupBy(F.col("e").alias("example_no")).agg(F.collect_set(F.concat_ws(" ", "word", "target")).alias(column))
     return examples.join(own, "example_no", "left"), spark.sparkContext.broadcast(None)
 
 
-def _mending(examples: DataFrame, quotes: str, name: str, most: int) -> tuple[DataFrame, Broadcast]:
-    """The examples with `_keep`, and the compounds that keep their hyphen (see `_given`)."""
-
-    def spell(own: list[dict], doc: str | None, _: object) -> Iterator[str]:
-        for text in [q["text"] or "" for q in own] + [r["clean"] for r in read_quotes(own, doc)]:
-            yield from map(_around, _BROKEN.finditer(text))
+def _evidence(examples: DataFrame, quotes: str, name: str, most: int) -> tuple[DataFrame, DataFrame, dict[str, Broadcast]]:
+    """The examples with `_head`, `_keep` and `_fix` (see `_given`), the corrections, and the three broadcasts: repeated lines, compounds, corrections."""
+    known: dict[str, Broadcast] = {}
 
-    return _given(examples, compounds(examples, quotes).withColumn("target", F.col("word")), spell, "_keep", quotes, name, most)
+    def heads(own: list[dict], doc: str | None, _: dict) -> Iterator[str]:
+        key = document_key(doc)
+        for q in own:
+            page = page_of(q["page_id"], q["layout_id"])
+            yield from filter(None, (header_key(x, page, key) for x in _LINES.split(q["text"] or "") if len(x) <= 90 and x.strip()))
 
-
-def word_counts(examples: DataFrame, quotes: str, keep: Broadcast) -> DataFrame:
-    """(`word`, `n`) over all quotes, broken words put together; `examples` and `keep` are those of `_mending`."""
+    def breaks(own: list[dict], doc: str | None, tables: dict) -> Iterator[str]:
+        read = read_quotes(own, doc, tables["_head"])
+        for text in [q["text"] or "" for q in own] + [r["clean"] for r in read]:
+            yield from map(_around, _BROKEN.finditer(text))
+        for a, b in zip(in_order(read), in_order(read)[1:]):
+            if w := across(a["clean"], b["clean"]):
+                yield w
+
+    def spelled(own: list[dict], doc: str | None, tables: dict) -> Iterator[str]:
+        for text in [q["text"] or "" for q in own] + [r["clean"] for r in read_quotes(own, doc, tables["_head"])]:
+            yield from (w for t in mended(text, tables["_keep"]).split() for w in words_in(t))
+
+    tokens = vocabulary(examples, quotes)
+    compound = cut(compounds(tokens))
+    examples, known["_head"] = _given(examples, repeated_lines(examples, quotes, name).withColumn("target", F.lit("h")), heads, "_head", quotes, name, most, dict(known))
+    examples, known["_keep"] = _given(examples, compound.withColumn("target", F.col("word")), breaks, "_keep", quotes, name, most, dict(known))
+    fixes = cut(corrections(word_counts(tokens, compound)))
+    examples, known["_fix"] = _given(examples, fixes, spelled, "_fix", quotes, name, most, dict(known))
+    return examples, fixes, known
+
+
+def word_counts(tokens: DataFrame, compound: DataFrame) -> DataFrame:
+    """(`word`, `n`) from the `vocabulary`, broken words put together, with their hyphen where they are among the compounds."""
+    broken = tokens.where(F.contains("token", F.lit(MARK)))
+    around = rf"([\p{{L}}\p{{N}}_]+){MARK}(?=([\p{{L}}\p{{N}}_]+))"
+    pairs = F.transform(F.regexp_extract_all("token", F.lit(around), F.lit(1)), lambda left, i: F.struct(i.alias("i"), F.lower(F.concat(left, F.lit("-"), F.get(F.regexp_extract_all("token", F.lit(around), F.lit(2)), i))).alias("word")))
+    kept = broken.select("token", "n", F.explode(pairs).alias("x")).select("token", "n", "x.i", "x.word").join(compound.withColumn("yes", F.lit(True)), "word", "left")
+    kept = kept.groupBy("token", "n").agg(F.array_sort(F.collect_list(F.when(F.col("yes"), F.col("i")))).alias("keep"))  # of one token
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: Counter = Counter()
         for pdf in batches:
-            for texts, own in zip(pdf["t"], pdf["k"]):
-                known = _table(own) if keep.value is None else keep.value
-                for text in texts:
-                    if text:
-                        tokens.update(mended(text, known).split())
-        words: Counter = Counter()
-        for token, n in tokens.items():
-            if len(token) < 60:
-                for w in words_in(token):
-                    words[w] += n
-        yield pd.DataFrame(list(words.items()), columns=["word", "n"])
-
-    texts = examples.where(F.col(quotes).isNotNull()).select(F.col(f"{quotes}.text").alias("t"), F.col("_keep").alias("k"))
-    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            rows = []
+            for token, n, keep in zip(pdf["token"], pdf["n"], pdf["keep"]):
+                if keep is not None:
+                    first, *rest = token.split(MARK)
+                    token = first + "".join(("-" if i in keep else "") + part for i, part in enumerate(rest))
+                rows += [(w, n) for w in words_in(token)]
+            yield pd.DataFrame(rows, columns=["word", "n"])
+
+    whole = tokens.where(~F.contains("token", F.lit(MARK))).withColumn("keep", F.lit(None).cast("array<int>"))
+    return cut(whole.unionByName(kept).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def _deltas(word: str, most: int = 2) -> list[tuple[int, str]]:
@@ -316,29 +408,46 @@ def undone(word: str, target: str, confusions: str) -> bool:
     return any(undone(word[:i] + right + word[i + len(wrong) :], target, rest) for i in range(len(word)) if word.startswith(wrong, i))
 
 
-def corrections(counts: DataFrame, frequent: int = 10, ratio: float = 8.0) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def _undone(word: pd.Series, target: pd.Series, confusions: pd.Series) -> pd.Series:
+    return pd.Series([undone(*x) for x in zip(word, target, confusions)], dtype=bool)
+
+
+def corrections(counts: DataFrame, ratio: float = 8.0, long: int = 7, long_ratio: float = 4.0) -> DataFrame:
     """(`word`, `target`): every rare word that is a frequent one misread, with the best ranked target.
 
-    Frequent words have at least `frequent` occurrences and `ratio` times those of the rare one. Fewest confusions
+    A target has at least `ratio` times the occurrences of the rare word; from `long` letters on, where chance hardly
+    makes two words alike, `long_ratio` times. Up to two confusions are found by their anagram hash differences. Words
+    with figures or signs among the letters that differ by more are joined on their folded forms. Fewest confusions
     first, then the most frequent target, then the smaller.
     """
+    longest = counts.where((F.col("n") >= long_ratio) & F.col("word").rlike(r"^\p{L}{2,}$")).agg(F.max(F.length("word"))).first()[0] or 0
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(w, n, h, c) for w, n in zip(pdf["word"], pdf["n"]) if len(w) <= 30 for h, c in _deltas(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "hash", "confusions"])
+            for a in range(0, len(pdf), 2000):
+                part = pdf.iloc[a : a + 2000]
+                yield pd.DataFrame([(w, n, h, c) for w, n in zip(part["word"], part["n"]) for h, c in _deltas(w)], columns=["word", "n", "hash", "confusions"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"hash": pdf["word"].map(anagram_hash), "target": pdf["word"], "m": pdf["n"]})
+            yield pd.DataFrame({"hash": pdf["word"].map(anagram_hash), "fold": pdf["word"].map(fold), "target": pdf["word"], "m": pdf["n"]})
+
+    def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["word"].map(mixed).astype(bool)]
+            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "fold": pdf["word"].map(fold)})
 
-    whole = counts.where((F.col("n") >= frequent) & F.col("word").rlike(r"^\p{L}{2,}$")).mapInPandas(hashed, "hash long, target string, m long")
-    rare = counts.where(F.col("word").rlike(r"[\p{L}]")).mapInPandas(spread, "word string, n long, hash long, confusions string")
-    fits = F.udf(undone, "boolean")
-    both = rare.join(whole, "hash").where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("target")))
-    both = both.where(fits("word", "target", "confusions"))
-    rank = F.min(F.struct(F.size(F.split("confusions", " ")).alias("k"), (-F.col("m")).alias("m"), "target"))
-    return both.groupBy("word").agg(rank.alias("best")).select("word", F.col("best.target").alias("target"))
+    whole = cut(counts.where((F.col("n") >= long_ratio) & F.col("word").rlike(r"^\p{L}{2,}$")).mapInPandas(hashed, "hash long, fold string, target string, m long"))
+    # no confusion adds more than a letter where it is undone, and two at most are: what is longer has no target
+    near = counts.where(F.col("word").rlike(r"[\p{L}]") & (F.length("word") <= longest + 2))
+    outnumbered = F.col("m") >= F.when(F.length("word") >= long, long_ratio).otherwise(ratio) * F.col("n")
+    rare = near.mapInPandas(spread, "word string, n long, hash long, confusions string")
+    both = rare.join(whole.drop("fold"), "hash").where(outnumbered & (F.col("word") != F.col("target"))).where(_undone("word", "target", "confusions"))
+    some = both.select("word", "target", "m", F.size(F.split("confusions", " ")).alias("k"))
+    more = counts.where(F.col("word").rlike(r"[0-9@]")).mapInPandas(folded, "word string, n long, fold string").join(whole.drop("hash"), "fold").where(outnumbered).select("word", "target", "m", F.lit(9).alias("k"))
+    rank = F.min(F.struct("k", (-F.col("m")).alias("m"), "target"))
+    return some.unionByName(more).groupBy("word").agg(rank.alias("best")).select("word", F.col("best.target").alias("target"))
 
 
 _MIXED = re.compile(r"^(?=.*[^\W\d_].*[^\W\d_])[^\W\d_]*[015689@][^\W_]*@?[^\W_]*$")
@@ -349,91 +458,106 @@ def mixed(word: str) -> bool:
     return bool(_MIXED.match(word)) and len(word) >= 4 and sum(c.isalpha() for c in word) >= 3 and not re.match(r"^(?:[^\W\d_]{1,3}\d+|\d+[^\W\d_]{1,3}|\d{2,}.*)$", word)
 
 
-def _spelled(text: str, keep: Container[str]) -> set[str]:
-    return {w for t in mended(text, keep).split() if len(t) < 60 for w in words_in(t)}
+#: The letter a figure or sign mostly stands for.
+_LETTERS = str.maketrans("015689@", "olsbbga")
+
+
+def unmixed(word: str) -> str:
+    """A mixed word with letters for its figures, where the corpus has no word to compare it with."""
+    return re.sub(r"(?<=[^aeiouyáéíóúäöüàèê\W\d_])1(?=[^aeiouyáéíóúäöüàèê\W\d_])", "i", word).translate(_LETTERS)
+
+
+def in_order(read: list[dict]) -> list[dict]:
+    """The quotes by page and layout; those without a number last."""
+    return sorted(read, key=lambda r: (r["page"] is None, r["page"] or 0, r["layout"] is None, r["layout"] or 0))
+
+
+def across(text: str, after: str) -> str | None:
+    """The word that is broken between two texts, with a plain hyphen at the break; None if none is."""
+    left, right = re.search(rf"(\w+)[{HYPHENS}]\s*$", text), re.match(r"\s*(\w+)", after)
+    return f"{left.group(1)}-{right.group(1)}".lower() if left and right else None
 
 
 def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `quote_id`, `noise`), one row per quote and kind of noise.
 
-    Null quotes and texts have none. The corrections go to the workers as a set of words if they are at most
-    `most`; beyond that the words of the quotes are joined with them.
+    Null quotes and texts have none. Repeated lines, compounds and corrections go to the workers as tables if each has
+    at most `most` entries; beyond that each example is given those of its own words by a join.
     """
-    examples, keep = _mending(examples, quotes, name, most)
-    fixes = corrections(word_counts(examples, quotes, keep)).select("word")
-    spark = examples.sparkSession
-    few = [r[0] for r in fixes.limit(most + 1).toLocalIterator()]
-    known = spark.sparkContext.broadcast(frozenset(few) if len(few) <= most else None)
+    examples, _, known = _evidence(examples, quotes, name, most)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad = known.value
+        shared = {c: b.value for c, b in known.items()}
         memo: dict[str, bool] = {}
-
-        def misread(token: str) -> bool:
-            if token not in memo:
-                if len(memo) > 500_000:
-                    memo.clear()
-                memo[token] = len(token) < 60 and any(mixed(w) or bad is not None and w in bad for w in words_in(token))
-            return memo[token]
-
         for pdf in batches:
             rows = []
-            for number, doc, quotes_, k in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"]):
-                compound = _table(k) if keep.value is None else keep.value
+            for number, doc, quotes_, *own_tables in zip(pdf["e"], pdf["d"], pdf["q"], *[pdf[c] for c in known]):
+                head, compound, bad = (_table(x) if shared[c] is None else shared[c] for c, x in zip(known, own_tables))
+                if shared["_fix"] is None or len(memo) > 500_000:
+                    memo.clear()
                 own = [{"quote_id": q["quote_id"], "text": q["text"], "page_id": q["page_id"], "layout_id": q["layout_id"]} for q in quotes_ if q is not None]
-                for q, r in zip(own, read_quotes(own, doc)):
-                    text = q["text"] or ""
-                    if any(map(misread, mended(text, compound).split())):
-                        r["found"].add("misread")
+                for q, r in zip(own, read_quotes(own, doc, head)):
+                    for token in mended(q["text"] or "", compound).split():
+                        if token not in memo:
+                            memo[token] = any(w in bad or mixed(w) for w in words_in(token))
+                        if memo[token]:
+                            r["found"].add("misread")
+                            break
                     rows += [(number, q["quote_id"], k) for k in r["found"]]
             yield pd.DataFrame(rows, columns=["example_no", "quote_id", "noise"])
 
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"))
-    out = source.mapInPandas(read, "example_no long, quote_id string, noise string")
-    if known.value is None:
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), *known)
+    return source.mapInPandas(read, "example_no long, quote_id string, noise string").distinct()
 
-        def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [(e, q["quote_id"], w) for e, qs, k in zip(pdf["e"], pdf["q"], pdf["k"]) for known in [_table(k) if keep.value is None else keep.value] for q in qs if q is not None and q["text"] for w in _spelled(q["text"], known)]
-                yield pd.DataFrame(rows, columns=["example_no", "quote_id", "word"])
 
-        words = source.select("e", "q", "k").mapInPandas(spell, "example_no long, quote_id string, word string")
-        out = out.unionByName(words.join(fixes, "word").select("example_no", "quote_id", F.lit("misread").alias("noise")))
-    return out.distinct()
+def _fixed(token: str, table: dict[str, str]) -> str:
+    """A token with its misread words corrected, in the case they are in."""
+    if is_code(token):
+        return token
+    out = []
+    for part in _INNER.split(token):
+        m = _CORE.match(part)
+        core = m.group(2)
+        low = core.lower()
+        right = table.get(low) if len(low) >= 2 else None
+        if right is None and mixed(low):
+            right = unmixed(low)
+        if right is not None:
+            letters = [c for c in core if c.isalpha()]
+            right = right.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else right.capitalize() if core[0].isupper() or core[0].isdigit() and core[1:2].isupper() else right
+            part = m.group(1) + right + m.group(3)
+        out.append(part)
+    return "".join(out)
 
 
 def repair(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
-    """(`example_no`, `text`): the quotes of each example in the order of page and layout as continuous paragraphs, headers and page numbers out, broken words and sentences joined, misread words corrected."""
-    examples, keep = _mending(examples, quotes, name, most)
-    fixes = corrections(word_counts(examples, quotes, keep))
-
-    def spell(own: list[dict], doc: str | None, k: Iterable[str] | None) -> Iterator[str]:
-        compound = _table(k) if keep.value is None else keep.value
-        for r in read_quotes(own, doc):
-            yield from (_CORE.match(t).group(2).lower() for t in mended(r["clean"], compound).split())
-
-    examples, known = _given(examples, fixes, spell, "_fix", quotes, name, most)
-
-    def fixed(token: str, table: dict[str, str]) -> str:
-        m = _CORE.match(token)
-        core = table.get(m.group(2).lower())
-        return token if core is None else m.group(1) + (core.upper() if m.group(2).isupper() and len(core) > 1 else core.capitalize() if m.group(2)[0].isupper() else core) + m.group(3)
+    """(`example_no`, `text`): the quotes of each example in the order of page and layout as continuous paragraphs, headers and page numbers out, broken words and sentences joined, also from quote to quote, every word `find_noise` takes for misread corrected."""
+    examples, _, known = _evidence(examples, quotes, name, most)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared = {c: b.value for c, b in known.items()}
+        memo: dict[str, str] = {}
         for pdf in batches:
             rows = []
-            for number, doc, quotes_, k, own in zip(pdf["e"], pdf["d"], pdf["q"], pdf["k"], pdf["f"]):
-                compound = _table(k) if keep.value is None else keep.value
-                table = _table(own) if known.value is None else known.value
-                read = read_quotes([dict(q) for q in quotes_ if q is not None], doc)
-                read.sort(key=lambda r: (r["page"] is None, r["page"] or 0, r["layout"] is None, r["layout"] or 0))
+            for number, doc, quotes_, *own_tables in zip(pdf["e"], pdf["d"], pdf["q"], *[pdf[c] for c in known]):
+                head, compound, table = (_table(x) if shared[c] is None else shared[c] for c, x in zip(known, own_tables))
+                if shared["_fix"] is None or len(memo) > 500_000:
+                    memo.clear()
                 text = ""
-                for r in read:
-                    clean = mended(r["clean"], compound)
-                    flat = "\n\n".join(" ".join(fixed(t, table) for t in p.split()) for p in re.split(r"\n[ \t]*\n", clean) if p.strip())
-                    text += flat + (" " if "continues" in r["found"] else "\n\n")
-                rows.append((number, text.strip()))
+                read = in_order(read_quotes([dict(q) for q in quotes_ if q is not None], doc, head))
+                for r, after in zip(read, [*read[1:], None]):
+                    clean = r["clean"]
+                    if broken := after and "continues" in r["found"] and across(clean, after["clean"]):
+                        clean = re.sub(rf"[{HYPHENS}]\s*$", MARK + ("-" if broken in compound else ""), clean)
+                    text += "\n\n".join(" ".join(p.split()) for p in re.split(r"\n[ \t]*\n", mended(clean, compound)) if p.strip())
+                    text += "" if text.endswith((MARK, MARK + "-")) else " " if "continues" in r["found"] else "\n\n"
+                out = []
+                for token in re.split(r"(\s+)", text.replace(MARK, "").strip()):
+                    if token not in memo:
+                        memo[token] = _fixed(token, table)
+                    out.append(memo[token])
+                rows.append((number, "".join(out)))
             yield pd.DataFrame(rows, columns=["example_no", "text"])
 
-    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), F.col("_keep").alias("k"), F.col("_fix").alias("f"))
+    source = examples.where(F.col(quotes).isNotNull()).select(F.col("example_no").alias("e"), F.col(name).alias("d"), F.col(quotes).alias("q"), *known)
     return source.mapInPandas(join, "example_no long, text string")

@@ -290,3 +290,31 @@ def test_repair_beyond_the_bound_of_corrections(spark):
     got = {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark), most=0).collect()}
     assert got == {r["example_no"]: r["text"] for r in scans.repair(_scanned(spark)).collect()}
     assert got[1] == "A low-cost garden of the town." and got[2].endswith("a garden.")
+
+
+def test_codes_are_no_words():
+    assert scans.words_in("Be1arilith's") == ["be1arilith"] and scans.words_in("fDi/3Dkb+H/x16vbq") == [] and scans.words_in("(LOW-C0ST)") == ["low", "c0st"]
+    assert scans._fixed("fDi/3Dkb+H/x16vbq", {}) == "fDi/3Dkb+H/x16vbq" and scans._fixed("“Low-c0st,", {"c0st": "cost"}) == "“Low-cost,"
+
+
+def test_titles_in_any_case():
+    for line, name in (("Pelidell Guide pratique 1998", "pelidell_guide_pratique_1998_0000059.pdf"), ("ULARITHORN FIELD MANUAL 2015", "Ularithorn-Field-Manual-2015-0000000.PDF")):
+        assert scans.is_title(line, scans.document_key(name)) and not scans.is_title(line + " was printed", scans.document_key(name))
+    assert not scans.is_title("Pelidell guide", scans.document_key("pelidell_guide_pratique_1998.pdf"))
+
+
+def test_headers_by_repetition_and_words_over_quotes(spark):
+    page = lambda i: [("t1", f"The Old Mill Today\nThe boats were in the gar-\nden of page {i} and the har-", i, i * 100 + 1), ("t2", "bour was open.", i, i * 100 + 2)]
+    rows = [(i, "river_guide_0000001.pdf", page(i)) for i in range(1, 4)] + [(9, "another.pdf", [("t1", "The Old Mill Today\nIt was open.", 1, 101)])]
+    df = spark.createDataFrame(rows, "example_no long, doc_name string, text_quotes array<struct<quote_id:string,text:string,page_id:long,layout_id:long>>")
+    for most in (2_000_000, -1):
+        got = {tuple(r) for r in scans.find_noise(df, most=most).collect()}
+        assert got == {(i, "t1", k) for i in range(1, 4) for k in ("header", "hyphen", "continues")}
+        assert scans.repair(df, most=most).where("example_no = 2").first()["text"] == "The boats were in the garden of page 2 and the harbour was open."
+
+
+def test_every_misread_word_is_corrected(spark):
+    rows = [("modern", 500), ("m0c1ern5", 1), ("moderns", 90), ("zuq1vant", 1), ("lumawick", 4), ("lurnawick", 1), ("eat", 300), ("cat", 100)]
+    got = {tuple(r) for r in scans.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
+    assert {("m0c1ern5", "moderns"), ("lurnawick", "lumawick")} <= got and not any(w in ("cat", "eat") for w, _ in got)
+    assert scans._fixed("Zuq1vant", dict(got)) == "Zuqlvant"
