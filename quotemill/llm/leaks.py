@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -179,20 +180,21 @@ def tiles(item: np.ndarray, doc: np.ndarray, place: np.ndarray, where: np.ndarra
         i, j, n = int(place[a]), int(where[a]), int(place[b] - place[a]) + SEED
         if (item[i : i + n] == doc[j : j + n]).all():  # the hash's word for it, checked
             matches.append((n, i, j))
-    matches.sort(key=lambda m: (-m[0], m[1], m[2]))
+    queue = [(-n, i, j) for n, i, j in matches]
+    heapify(queue)
     used_item, used_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    while matches:
-        n, i, j = matches.pop(0)
+    while queue:
+        n, i, j = heappop(queue)
+        n = -n
         free = ~(used_item[i : i + n] | used_doc[j : j + n])
         if free.all():
             used_item[i : i + n] = used_doc[j : j + n] = True
             out.append((i, j, n))
             continue
         edge = np.flatnonzero(np.diff(np.r_[0, free.astype(np.int8), 0]))  # what is left of it goes back into the queue
-        rest = [(int(e - s), i + int(s), j + int(s)) for s, e in zip(edge[::2], edge[1::2]) if e - s >= SEED]
-        if rest:
-            matches.extend(rest)
-            matches.sort(key=lambda m: (-m[0], m[1], m[2]))
+        for s, e in zip(edge[::2], edge[1::2]):
+            if e - s >= SEED:
+                heappush(queue, (-int(e - s), i + int(s), j + int(s)))
     return out
 
 

@@ -265,11 +265,13 @@ def defect(question: str | None, answer: str | None, gold: str | None) -> tuple[
     return ("language" if in_other_language(question, answer) else None), last
 
 
-@F.pandas_udf(T.StructType([T.StructField("defect", T.StringType()), T.StructField("last", T.StringType())]))
 def _defects(question: pd.Series, answer: pd.Series, gold: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([defect(*(None if x is None or x != x else x for x in row)) for row in zip(question, answer, gold)], columns=["defect", "last"])
 
 
+_DEFECTS = T.StructType([T.StructField("defect", T.StringType()), T.StructField("last", T.StringType())])
+
+
 def sentence_ends(pairs: DataFrame, answer: str = "pred_answer") -> DataFrame:
     """(`word`, `ends`, `n`): over all responses, how often each word stands at the end of a finished sentence and anywhere."""
 
@@ -293,11 +295,12 @@ def flag_pairs(pairs: DataFrame, id_col: str = "pred_id", question: str = "quest
     A null question or reference answer is read as empty; a null answer is `empty`. Repeated rows come out once. An
     unfinished last sentence counts as complete if its last word ends at least `end_share` of the sentences it is in.
     """
-    judged = pairs.select(F.col(id_col), _defects(question, answer, gold).alias("_d"), F.col(answer).alias("_a")).select(id_col, "_d.defect", "_d.last")
-    sure = judged.where("last is null and defect is not null").select(id_col, "defect")
-    open_ = judged.where("last is not null")
-    words = sentence_ends(pairs, answer)
-    settled = open_.join(words, open_["last"] == words["word"], "left").select(
-        id_col, F.when(F.col("ends") >= end_share * F.col("n"), F.col("defect")).otherwise(F.lit("truncated")).alias("defect")
-    )
-    return sure.unionByName(settled.where("defect is not null")).distinct()
+    # told not to be deterministic, it is evaluated once, before the filters and for both fields
+    told = F.pandas_udf(_defects, _DEFECTS).asNondeterministic()(question, answer, gold)
+    judged = pairs.select(F.col(id_col), told.alias("_d")).where("_d.defect is not null or _d.last is not null").select(id_col, "_d.defect", "_d.last")
+    words = sentence_ends(pairs, answer).select(F.col("word").alias("_w"), (F.col("ends") >= end_share * F.col("n")).alias("_ends"))
+    # the sure ones join nothing; under a key of their own each they don't meet in one task
+    key = F.coalesce("last", F.concat(F.lit("\0"), F.xxhash64(id_col).cast("string")))
+    settled = judged.withColumn("_k", key).join(words, F.col("_k") == F.col("_w"), "left")
+    final = F.when(F.col("last").isNull() | F.coalesce("_ends", F.lit(False)), F.col("defect")).otherwise(F.lit("truncated"))
+    return settled.select(id_col, final.alias("defect")).where("defect is not null").distinct()
