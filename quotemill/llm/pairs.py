@@ -32,6 +32,23 @@ nicht in der lage | nicht helfen | keine auskunft | nicht äußern | nicht beant
 pas en mesure de | peux pas répondre | puis pas répondre | peux pas vous aider | puis pas vous aider | impossible de vous | impossible de répondre | pas me prononcer | préfère ne pas | refuse de répondre | pas possible de répondre | ne peux fournir | peux pas fournir | sans réponse possible
 no estoy en condiciones | no me es posible | no puedo ayudar | no puedo responder | no puedo contestar | no puedo dar | no puedo proporcionar | prefiero no | me niego a | no es posible responder | no tengo suficiente | imposible responder
 """
+#: Words of being unable, of answering, of lacking, of enough, and of what there is not enough of. What is refused in other words than the phrases is found by their order.
+UNABLE = """
+cannot | can't | can not | could not | couldn't | unable to | not able to | won't be able | not possible | impossible | kann nicht | kann keine | kann ich nicht | kann ich keine | nicht möglich | nicht in der lage
+peux pas | puis pas | ne peux | ne puis | pas possible | pas en mesure | impossible de | no puedo | no es posible | no me es posible | imposible | no estoy en condiciones
+"""
+ANSWERING = frozenset(
+    "answer answering answered help assist assistance provide respond comment discuss read say tell share offer offered determine address antworten beantworten antwort helfen weiterhelfen auskunft angaben äußern "
+    "répondre réponse aider fournir prononcer lire lesen leer responder respuesta contestar ayudar proporcionar dar pronunciarme".split()
+)
+LACKING = frozenset("not don't doesn't no without nicht keine kein ohne pas sans ne sin".split())
+ENOUGH = frozenset("enough sufficient insufficient genug genügend ausreichend ausreichenden ausreichende suffisamment assez suficiente suficientes bastante".split())
+MATTER = frozenset("context information evidence data kontext informationen angaben daten contexte informations contexto información datos".split())
+DECLINING = frozenset("decline refuse declining refusing ablehnen verweigere refuse-t refuser niego rehúso".split())
+WISH = frozenset("prefer rather prefiero préfère lieber möchte darf kann".split())
+MAY = frozenset("can may able allowed could kann darf peut puede".split())
+BEYOND = frozenset("beyond outside".split())
+FIRST = frozenset("i i'm we ich wir je nous yo me my mir moi must muss dois debo prefiero".split())
 #: How a reference answer says that the document has no answer.
 NO_ANSWER = """
 not answerable | unanswerable | not say | cannot be determined | can't be determined | can not be determined | no answer | insufficient | not contain | not stated | not mentioned | no information
@@ -148,9 +165,40 @@ class SuffixAutomaton:
         return here, there
 
 
+_UNABLE = PhraseAutomaton(_phrases(UNABLE))
+
+
+def _ends_of(automaton: PhraseAutomaton, words: list[str]) -> list[int]:
+    return [i for i in range(len(words)) if automaton.found(words[max(0, i - 4) : i + 1]) and not automaton.found(words[max(0, i - 4) : i])]
+
+
+def declines(words: list[str]) -> bool:
+    """Words of being unable beside one of answering, too little of what an answer needs, or a first person that declines, would rather not, or may not."""
+    for i in _ends_of(_UNABLE, words):
+        if any(w in ANSWERING for w in words[i + 1 : i + 5] + words[max(0, i - 6) : i]):
+            return True
+    for i, w in enumerate(words):
+        if w in ENOUGH and any(x in MATTER for x in words[i + 1 : i + 4]) and (w == "insufficient" or any(x in LACKING for x in words[max(0, i - 4) : i])):
+            return True
+        if w in DECLINING and any(x in FIRST for x in words[max(0, i - 3) : i + 3]):
+            return True
+        after = words[i + 1 : i + 9]
+        if w in WISH and any(x in LACKING and any(y in ANSWERING for y in after[k + 1 :]) for k, x in enumerate(after[:6])) and any(x in FIRST for x in words[max(0, i - 2) : i + 4]):
+            return True
+        if w in BEYOND and any(x in FIRST for x in after[:4]) and any(x in MAY for x in after[:5]):
+            return True
+        if w in LACKING and any(x in ANSWERING for x in after[:1]) and any(x in MAY for x in after[1:3]):
+            return True
+    return False
+
+
 _REFUSED, _UNANSWERED = PhraseAutomaton(_phrases(REFUSALS)), PhraseAutomaton(_phrases(NO_ANSWER))
 
 
+def refused(words: list[str]) -> bool:
+    return _REFUSED.found(words) or declines(words)
+
+
 def _plain(text: str) -> str:
     return unicodedata.normalize("NFC", _CITATION.sub(" ", text)).replace("’", "'").lower()
 
@@ -184,10 +232,10 @@ def gives_no_answer(gold: str | None) -> bool:
 def is_refusal(answer: str, gold: str | None) -> bool:
     """Declines or says it cannot; not so where an answer follows a "but", or where the reference answer is given."""
     text = _plain(answer)
-    if not _REFUSED.found(_words(text)):
+    if not refused(_words(text)):
         return False
     parts = BUT.split(text)
-    if len(parts) > 1 and len(parts[-1].split()) > 2 and not _REFUSED.found(_words(parts[-1])):
+    if len(parts) > 1 and len(parts[-1].split()) > 2 and not refused(_words(parts[-1])):
         return False
     given = " ".join(_folded(gold or ""))
     return not (given and any(c.isalnum() for c in given) and f" {given} " in f" {' '.join(_folded(text))} ")
@@ -254,7 +302,7 @@ def defect(question: str | None, answer: str | None, gold: str | None) -> tuple[
     question = question or ""
     if is_copy(question, answer):
         return "copy", None
-    if _REFUSED.found(_words(_plain(answer))):
+    if refused(_words(_plain(answer))):
         if gives_no_answer(gold):
             return None, None
         if is_refusal(answer, gold):

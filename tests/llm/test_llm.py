@@ -318,3 +318,13 @@ def test_every_misread_word_is_corrected(spark):
     got = {tuple(r) for r in scans.corrections(spark.createDataFrame(rows, "word string, n long")).collect()}
     assert {("m0c1ern5", "moderns"), ("lurnawick", "lumawick")} <= got and not any(w in ("cat", "eat") for w, _ in got)
     assert scans._fixed("Zuq1vant", dict(got)) == "Zuqivant"
+
+
+@pytest.mark.parametrize("answer", ["Sadly, I could not possibly respond to that.", "There is insufficient data for this.", "Ich möchte dazu lieber nicht antworten.", "Je ne peux hélas rien lire ici.", "Yo prefiero, la verdad, no responder.", "That is outside of all I may do."])
+def test_refusals_in_other_words(answer):
+    assert not pairs._REFUSED.found(pairs._words(pairs._plain(answer))) and pairs.defect("What was the wage in 2005?", answer, "4")[0] == "refusal"
+
+
+@pytest.mark.parametrize("answer", ["The mill could not open in 2005.", "No answer was given by the town, it kept 4 mills.", "There was not enough water for the mill.", "Der Ort kann keine Schule bauen."])
+def test_no_refusals(answer):
+    assert pairs.defect("What was the wage in 2005?", answer, "4")[0] in (None, "language")
