@@ -9,7 +9,8 @@ third of all rows is one row after the first (partially aggregated) distinct.
 
 The stratification places components that hold at least 1/`giants` of the rows first, in one task (there are
 at most `giants` of them, whatever the size of the data); all others are placed by hash shard, each shard
-serving its share of what the giants left outstanding.
+serving its share of what the giants left outstanding. Each placement is followed by moves that bring the
+shares of the labels nearer to the proportions.
 """
 
 from __future__ import annotations
@@ -133,9 +134,46 @@ def _stratify(members: list[tuple[str, dict[str, int]]], wanted: list[dict[str,
     return place
 
 
-def _stratified(pdf: pd.DataFrame, wanted: list[dict[str, float]]) -> pd.DataFrame:
+def _evened(members: list[tuple[str, dict[str, int]]], place: list[int], wanted: list[dict[str, float]], proportions: Sequence[float], rounds: int = 20) -> list[int]:
+    """The places after moves that bring the labels' shares, and the sizes, nearer to their proportions; small components last, until a round moves none.
+
+    `wanted` is what the placement left outstanding. What others will place later counts as if it were dealt out in proportion.
+    """
+    left = {label: sum(w.get(label, 0.0) for w in wanted) for label in {x for w in wanted for x in w}}
+    off = [{label: w.get(label, 0.0) - p * n for label, n in left.items()} for w, p in zip(wanted, proportions)]
+    total = [sum(o.values()) for o in off]
+    weight: dict[str, float] = {}
+    for _, labels in members:
+        for label, n in labels.items():
+            weight[label] = weight.get(label, 0.0) + n
+    scale = max(1.0, sum(weight.values()))
+    order = sorted(range(len(members)), key=lambda i: (-sum(members[i][1].values()), members[i][0]))
+    for _ in range(rounds):
+        moved = False
+        for i in order:
+            labels, s = members[i][1], place[i]
+            size = sum(labels.values())
+
+            def gain(t: int, labels: dict[str, int] = labels, s: int = s, size: int = size) -> float:
+                own = sum(n * (off[s].get(x, 0.0) - off[t].get(x, 0.0) + n) / weight[x] for x, n in labels.items())
+                return own + 4 * size * (total[s] - total[t] + size) / scale
+
+            t = min((k for k in range(len(off)) if k != s), key=lambda k: (gain(k), k))
+            if gain(t) < -1e-9:
+                for x, n in labels.items():
+                    off[s][x] = off[s].get(x, 0.0) + n
+                    off[t][x] = off[t].get(x, 0.0) - n
+                total[s] += size
+                total[t] -= size
+                place[i], moved = t, True
+        if not moved:
+            break
+    return place
+
+
+def _stratified(pdf: pd.DataFrame, wanted: list[dict[str, float]], proportions: Sequence[float]) -> pd.DataFrame:
     members = [(c, dict(zip(g["label"], g["n"].astype(int)))) for c, g in pdf.groupby("component", sort=True)]
-    place = _stratify(members, wanted)
+    place = _evened(members, _stratify(members, wanted), wanted, proportions)
     out = [(c, SPLITS[s], label, n) for (c, labels), s in zip(members, place) for label, n in labels.items()]
     return pd.DataFrame(out, columns=["component", "split", "label", "n"])
 
@@ -156,16 +194,22 @@ def assign_splits(records: DataFrame, component: str, labels: Sequence[Column],
     wanted = [{label: n * p for label, n in totals.items()} for p in proportions]
     big = sized.where(F.col("size") * giants >= rows).select("component", "label", "n")
     schema = "component string, split string, label string, n long"
-    first = cut(big.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _stratified(pdf, [dict(w) for w in wanted]), schema))
+    first = cut(big.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: _stratified(pdf, [dict(w) for w in wanted], proportions), schema))
     for r in first.groupBy("split", "label").agg(F.sum("n").alias("n")).collect():
         wanted[SPLITS.index(r["split"])][r["label"]] -= r["n"]
     shards = max(1, int(rows // shard_rows))
     share = [{label: n / shards for label, n in w.items()} for w in wanted]
     rest = sized.where(F.col("size") * giants < rows).withColumn("shard", F.pmod(F.xxhash64("component"), F.lit(shards)))
-    rest = rest.groupBy("shard").applyInPandas(lambda pdf: _stratified(pdf[["component", "label", "n"]], [dict(w) for w in share]), schema)
+    rest = rest.groupBy("shard").applyInPandas(lambda pdf: _stratified(pdf[["component", "label", "n"]], [dict(w) for w in share], proportions), schema)
     return first.unionByName(rest).select("component", "split").distinct()
 
 
+def split_shares(examples: DataFrame, placed: DataFrame, label: str) -> DataFrame:
+    """(`label`, `split`, `n`, `share`): how the rows of each label value are shared out."""
+    n = placed.join(examples.select("example_no", F.col(label).alias("label")), "example_no").groupBy("label", "split").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("label")))
+
+
 def split_examples(examples: DataFrame, proportions: Sequence[float] = PROPORTIONS) -> DataFrame:
     """(`example_no`, `component`, `split`) for every row of the examples.
 

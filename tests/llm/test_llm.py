@@ -328,3 +328,25 @@ def test_refusals_in_other_words(answer):
 @pytest.mark.parametrize("answer", ["The mill could not open in 2005.", "No answer was given by the town, it kept 4 mills.", "There was not enough water for the mill.", "Der Ort kann keine Schule bauen."])
 def test_no_refusals(answer):
     assert pairs.defect("What was the wage in 2005?", answer, "4")[0] in (None, "language")
+
+
+@pytest.mark.parametrize("giants", [1000, 5])
+def test_splits_keep_to_the_proportions(spark, giants):
+    rng = np.random.default_rng(3)
+    sizes = [400, 90, 60, *rng.integers(1, 12, 400)]
+    rows = [(f"c{c}", "abcd"[c % 4] if c % 7 else "rare") for c, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(rows, "component string, label string")
+    placed = splits.assign_splits(df, "component", [F.col("label")], giants=giants, shard_rows=700).toPandas()
+    assert placed.component.is_unique and len(placed) == len(sizes)
+    m = pd.DataFrame(rows, columns=["component", "label"]).merge(placed)
+    for p, split in zip(splits.PROPORTIONS, splits.SPLITS):
+        assert abs((m.split == split).mean() - p) < 0.01
+        for _, g in m.groupby("label"):
+            assert abs((g.split == split).mean() - p) < 0.03
+
+
+def test_proportions_as_far_as_components_allow(spark):
+    df = spark.createDataFrame([("a", None)] * 9 + [("b", "x")], "component string, label string")
+    got = {r["component"]: r["split"] for r in splits.assign_splits(df, "component", [F.col("label")]).collect()}
+    assert got["a"] == "train" and got["b"] != "train"
+    assert splits.assign_splits(df.limit(0), "component", []).count() == 0
