@@ -237,7 +237,7 @@ _COLUMNS = [c.split()[0] for c in CHILD_SCHEMA.split(", ")]
 def flatten_lines(lines: DataFrame, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
     """Every node of every line that has a row, with its variant and the way back (`line_id`, `row_pos`, `pos`); its fields are JSON in `value`.
 
-    Null, broken and foreign lines have no rows. Repeated lines have their own `line_id` and come out each.
+    Null, broken and foreign lines have no rows, nor have those without an id. Repeated lines have their own `line_id` and come out each.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +246,7 @@ def flatten_lines(lines: DataFrame, id_col: str = "line_id", line_col: str = "li
                 part = pdf.iloc[a : a + 500]
                 yield pd.DataFrame([(i, *c) for i, line in zip(part["i"], part["l"]) for c in children(line)], columns=_COLUMNS)
 
-    return lines.select(F.col(id_col).alias("i"), F.col(line_col).alias("l")).mapInPandas(explode, CHILD_SCHEMA)
+    return lines.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(line_col).alias("l")).mapInPandas(explode, CHILD_SCHEMA)
 
 
 def tables(nodes: DataFrame) -> dict[tuple[str, str], DataFrame]:
