@@ -242,7 +242,7 @@ def _gains(words: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, ite
 
 def _blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for r in items.select(id_col, text).where(F.col(text).isNotNull()).toLocalIterator():
+    for r in items.select(id_col, text).where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).toLocalIterator():
         n = len(r[1]) // 4 + 1
         if block and size + n > BLOCK_WORDS:
             yield block
@@ -257,7 +257,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     """(`doc_id`, `item_id`): every item that leaked into every document.
 
     The items are the stated query set: they run against all documents in blocks of `BLOCK_WORDS` words, each sent to
-    the workers once. Null and empty texts on either side give no rows; repeated documents count each; repeated pairs
+    the workers once. Null and empty texts and null ids on either side give no rows; repeated documents count each; repeated pairs
     come out once.
     """
     spark = documents.sparkSession
@@ -272,7 +272,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
                 rows = [(ids[d], i) for d, i in own.search(pdf["text"].tolist())]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
 
-        some = documents.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+        some = documents.where(F.col(doc_text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
         part = some.mapInPandas(search, "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
     return out.distinct() if out is not None else spark.createDataFrame([], "doc_id long, item_id long")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotemill.session import cut
+
 CAPACITY = 4096
 SHARD_ITEMS = 100_000
 
@@ -74,16 +76,19 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY,
     """(`shard`, `container`, id, `piece`, `pieces`, `size`): the container, named by shard and number, of every piece.
 
     An item is split only if its size exceeds the capacity, into full pieces and one rest. Items of null or zero size
-    need no room and have no row. Rows that repeat an id are packed each.
+    need no room and have no row. Rows that repeat an id, or have none, are packed each. Only ids and sizes are read,
+    once; a shard has about `shard_items` pieces.
     """
-    sized = items.select(F.col(id_col).alias("id"), F.col(size_col).cast("long").alias("size")).where("size > 0")
-    n = sized.count()
-    shards = max(1, -(-n // shard_items))
     pieces = F.ceil(F.col("size") / F.lit(float(capacity))).cast("long")
-    cut = sized.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    cut = cut.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity)).withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
-    packed = cut.groupBy("shard").applyInPandas(lambda pdf: _packed(pdf, capacity), "shard long, container long, id long, piece long, pieces long, size long")
-    return packed.withColumnRenamed("id", id_col)
+    kind = items.schema[id_col].dataType
+    # as text, since numbers with nulls among them would become floats on the way
+    sized = cut(items.select(F.col(id_col).cast("string").alias("id"), F.col(size_col).cast("long").alias("size")).where("size > 0").withColumn("pieces", pieces))
+    n = sized.agg(F.sum("pieces")).first()[0] or 0
+    shards = max(1, -(-n // shard_items))
+    each = sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    each = each.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("piece") * capacity)).withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    packed = each.groupBy("shard").applyInPandas(lambda pdf: _packed(pdf, capacity), "shard long, container long, id string, piece long, pieces long, size long")
+    return packed.select("shard", "container", F.col("id").cast(kind).alias(id_col), "piece", "pieces", "size")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:

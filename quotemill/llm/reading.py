@@ -155,7 +155,7 @@ def graded(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30
     """(`doc_id`, `level`, `posterior`, `lean`, `sentences`, `words`, `letters`) of each English text with enough prose.
 
     `level` has the highest posterior, `lean` is the likelier of easy and hard; a tie goes to the easier. Null, empty,
-    short and foreign texts have no row; a level without a text in the sample is as likely as its smoothing makes it.
+    short and foreign texts have no row, nor have rows without an id; a level without a text in the sample is as likely as its smoothing makes it.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, fit_rows, least_words, most))
 
@@ -178,7 +178,7 @@ def graded(documents: DataFrame, fit_rows: int = FIT_ROWS, least_words: int = 30
             yield pd.DataFrame(out, columns=["doc_id", "level", "posterior", "lean", "sentences", "words", "letters"])
 
     schema = "doc_id long, level string, posterior double, lean string, sentences long, words long, letters long"
-    return documents.select("doc_id", "text").mapInPandas(score, schema)
+    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(score, schema)
 
 
 def _by_formula() -> Column:

@@ -97,7 +97,9 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
     """One row per piece: the columns of df but for the text, and `piece_no`, `start`, `stop`, `cut`, `boundary`, `piece`.
 
     A text within the limit is one piece with boundary `whole`; a null or empty text too, its piece being itself.
+    Columns of df that are named like one of the result are left out.
     """
+    df = df.drop(*[c for c in ("piece_no", "start", "stop", "cut", "boundary", "piece", "pieces", "_plan", "_p") if c != text])
     long = oversized(df, text, limit, overlap).select("*", F.posexplode("pieces").alias("piece_no", "_p")).select(
         "*", F.col("_p.start").alias("start"), F.col("_p.stop").alias("stop"), F.col("_p.cut").alias("cut")
     )
