@@ -33,6 +33,8 @@ LONGEST = 2 * STRETCH - 1
 WIDE = LONGEST // EDIT
 #: The items go to the workers in blocks of so many words.
 BLOCK_WORDS = 2_000_000
+#: Pairs of equal seeds of a batch of texts and the items that are listed at once; a batch with more is halved, a single text with more searched item by item.
+SHARED = 4_000_000
 
 _BROKEN = re.compile(r"[-‐‑¬\xad]+[ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])[>\s]*(?=\w)")
 _JOINED = re.compile(r"[^\w–—/|…]+|_+")
@@ -118,7 +120,9 @@ class Items:
 
     def search(self, texts: list[str]) -> list[tuple[int, int]]:
         """(place of the text, item id) of all leaks into some texts."""
-        parts = [self.numbers(t) for t in texts]
+        return self._search([self.numbers(t) for t in texts])
+
+    def _search(self, parts: list[list[int]]) -> list[tuple[int, int]]:
         if not len(self.hash) or not parts:
             return []
         begin = np.cumsum([0] + [len(p) + SEED for p in parts])
@@ -133,6 +137,11 @@ class Items:
             return []
         first = at[hit]
         n = np.searchsorted(self.hash, h[hit], side="right") - first
+        if n.sum() > SHARED:
+            if len(parts) > 1:
+                half = len(parts) // 2
+                return self._search(parts[:half]) + [(half + d, i) for d, i in self._search(parts[half:])]
+            return [(0, self.ids[k]) for k in self._repetitive(doc[: len(parts[0])])]
         where = np.repeat(hit, n)
         entry = np.repeat(first, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         owner, place = self.owner[entry].astype(np.int64), self.place[entry]
@@ -163,11 +172,53 @@ class Items:
             found += [(int(x), self.ids[y]) for x, y in sorted(set(zip(d[hits], k[hits])))]
         return found
 
+    def _repetitive(self, doc: np.ndarray) -> list[int]:
+        """The places of the items that leaked into one text that shares so many seeds with them, for its repetitions, that they can't be listed at once."""
+        h = rolling_hashes(doc)
+        some = np.unique(h)
+        a, b = np.searchsorted(self.hash, some, "left"), np.searchsorted(self.hash, some, "right")
+        found = []
+        for k in np.unique(np.concatenate([self.owner[x:y] for x, y in zip(a, b) if x < y])):
+            item = self.tokens[k]
+            if len(item) >= RUN and (longest_run(item, doc) >= RUN or len(item) >= STRETCH and self._stretched(item, doc, h)):
+                found.append(int(k))
+        return found
+
+    def _stretched(self, item: np.ndarray, doc: np.ndarray, h: np.ndarray) -> bool:
+        own = rolling_hashes(item)
+        order = np.argsort(own, kind="stable")
+        first, last = np.searchsorted(own[order], h, "left"), np.searchsorted(own[order], h, "right")
+        hit = np.flatnonzero(last > first)
+        step = max(1, SHARED // max(1, len(own)))  # so that a slice has at most SHARED pairs of seeds
+        for s in range(0, len(hit), step):
+            where = hit[s : s + step]
+            n = last[where] - first[where]
+            entry = np.repeat(first[where], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            i, j = anchors(order[entry], np.repeat(where, n))
+            for x in range(0, len(i), 5000):
+                c = slice(x, x + 5000)
+                whole = lambda size, c=c: (np.zeros(len(i[c]), np.int64), np.full(len(i[c]), size))
+                if stretches(item, doc, whole(len(item)), whole(len(doc)), i[c], j[c]).any():
+                    return True
+        return False
+
     def leaks(self, text: str) -> list[int]:
         """The ids of the items that leaked into a text."""
         return [i for _, i in self.search([text])]
 
 
+def longest_run(item: np.ndarray, doc: np.ndarray) -> int:
+    """Words of the longest stretch of the item that the text holds as it is; in time item x text, in memory of the text."""
+    run = np.zeros(len(doc), dtype=np.int32)
+    best = 0
+    for w in item:
+        run[1:] = run[:-1] + 1
+        run[0] = 1
+        run[doc != w] = 0
+        best = max(best, int(run.max()))
+    return best
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, place: np.ndarray, where: np.ndarray) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in item, start in doc, length) of maximal matches, longest first, none overlapping one before in the item or in the document."""
     matches = []
