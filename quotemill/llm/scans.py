@@ -42,7 +42,7 @@ _BROKEN_JVM = rf"(?<=[\p{{L}}\p{{N}}_])[{HYPHENS}][ \t]*(?:\r\n|[\n\r\x0B\f\x85\
 MARK = "\x01"
 _LEFT = re.compile(r"\w+$")
 _WORD = re.compile(r"\w+")
-_HYPHENED = re.compile(r"(\w+)[-‐‑](?=(\w+))")
+_HYPHENED_JVM = r"([\p{L}\p{N}_]+)[-‐‑](?=([\p{L}\p{N}_]+))"
 _CORE = re.compile(r"^([^\w@]*)(.*?)([^\w@]*)$", re.S)
 _EDGES = re.compile(r"^[^\w@]+|[^\w@]+$")
 _INNER = re.compile(rf"([{HYPHENS}'’–—/])")
@@ -55,6 +55,7 @@ _JOINING = frozenset("and und y e et &".split())
 _FOLD = str.maketrans("0156@98c", "olsbagbe")
 _STOP = re.compile(r"[.!?…。！？:][\"'”’»)\]]*$")
 _TABLE = re.compile(r"\|")
+_NOT_IN_HEADER = re.compile(r"[|:;,.]")
 _HEADING = re.compile(r"^\s*\d+(?:\.\d+)+\s+\S")
 
 
@@ -134,13 +135,12 @@ def is_title(line: str, key: str | None) -> bool:
     return len(a) >= 8 and (a == b or _near(a, b, 1 + len(a) // 12))
 
 
-def header_key(line: str, page: int | None, key: str | None) -> str | None:
-    """What tells a document's header lines apart: its key and the folded line without a page number; None for a line that is none."""
-    rest, _ = split_number(line, page)
-    words = rest.split()
-    if not key or not 6 <= len(rest) <= 60 or len(words) < 2 or not rest[-1].isalnum() or any(c in rest for c in "|:;,.") or _HEADING.match(rest):
+def header_key(rest: str, key: str | None) -> str | None:
+    """What tells a document's header lines apart: its key and the folded line, which comes without its page number; None for a line that is none."""
+    if not key or not 6 <= len(rest) <= 60 or not rest[-1].isalnum() or not (rest[0].isupper() or rest[0].isdigit()) or _NOT_IN_HEADER.search(rest) or _HEADING.match(rest):
         return None
-    if 2 * sum(w[0].isupper() or not w[0].isalpha() for w in words) < len(words) or not (rest[0].isupper() or rest[0].isdigit()) or not any(c.isalpha() for c in rest):
+    words = rest.split()
+    if len(words) < 2 or 2 * sum(w[0].isupper() or not w[0].isalpha() for w in words) < len(words) or not any(c.isalpha() for c in rest):
         return None
     return f"{key}\x1f{fold(rest)}"
 
@@ -192,7 +192,7 @@ def read_quotes(quotes: list[dict], name: str | None, repeated: Container[str] =
                     if numbered:
                         found.add("pageno")
                     continue
-                if looks_like_chapter(rest) or repeated and header_key(line, page, key) in repeated:
+                if looks_like_chapter(rest) or repeated and (k := header_key(rest, key)) and k in repeated:
                     found.add("header")
                     if numbered:
                         found.add("pageno")
@@ -262,25 +262,20 @@ def _around(m: re.Match) -> str:
 def vocabulary(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
     """(`token`, `n`): every run without white space in all quotes, and how often it occurs; MARK stands for a hyphen at a line break."""
     texts = examples.where(F.col(quotes).isNotNull()).select(F.explode(F.col(f"{quotes}.text")).alias("t")).where("t is not null")
-    tokens = texts.select(F.explode(F.split(F.regexp_replace("t", _BROKEN_JVM, MARK), WS + "+")).alias("token"))
+    marked = F.when(F.col("t").rlike(r"[\n\r\x0B\f\x85\u2028\u2029]"), F.regexp_replace("t", _BROKEN_JVM, MARK)).otherwise(F.col("t"))
+    tokens = texts.select(F.explode(F.split(marked, WS + "+")).alias("token"))
     return cut(tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n")))
 
 
 def compounds(tokens: DataFrame) -> DataFrame:
     """(`word`): the words that stand on one line more often with a hyphen than joined, from the `vocabulary`."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for token, n in zip(pdf["token"], pdf["n"]):
-                low = token.lower()
-                rows += [(w, None, 0, n) for w in _WORD.findall(low)]
-                rows += [(left + right, f"{left}-{right}", n, 0) for left, right in _HYPHENED.findall(low)]
-            yield pd.DataFrame(rows, columns=["joined", "word", "h", "j"])
-
-    counts = tokens.mapInPandas(count, "joined string, word string, h long, j long").groupBy("joined", "word").agg(F.sum("h").alias("h"), F.sum("j").alias("j"))
-    with_hyphen = counts.where("word is not null").select("joined", "word", "h")
-    both = with_hyphen.join(counts.where("word is null").select("joined", F.col("j").alias("j")), "joined", "left")
+    low = tokens.select(F.lower("token").alias("t"), "n")
+    parts = lambda group: F.regexp_extract_all("t", F.lit(_HYPHENED_JVM), F.lit(group))
+    pairs = low.where(F.col("t").rlike("[-‐‑]")).select("n", F.explode(F.arrays_zip(parts(1).alias("l"), parts(2).alias("r"))).alias("x"))
+    with_hyphen = pairs.groupBy(F.concat("x.l", "x.r").alias("joined"), F.concat("x.l", F.lit("-"), "x.r").alias("word")).agg(F.sum("n").alias("h"))
+    words = low.select("n", F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("joined"))
+    both = with_hyphen.join(words.groupBy("joined").agg(F.sum("n").alias("j")), "joined", "left")
     return both.where("h > coalesce(j, 0)").select("word")
 
 
@@ -301,7 +296,7 @@ def repeated_lines(examples: DataFrame, quotes: str = "text_quotes", name: str =
                 page = page_of(*(None if x is None or x != x else x for x in (p, at)))
                 if d not in memo:
                     memo[d] = document_key(d)
-                rows += [(k, page) for x in own if page is not None and (k := header_key(x, page, memo[d]))]
+                rows += [(k, page) for x in own if page is not None and (k := header_key(split_number(x, page)[0], memo[d]))]
             yield pd.DataFrame(rows, columns=["word", "page"]).astype({"page": "Int64"})
 
     found = some.mapInPandas(keys, "word string, page long").distinct()
@@ -347,7 +342,7 @@ def _evidence(examples: DataFrame, quotes: str, name: str, most: int) -> tuple[D
         key = document_key(doc)
         for q in own:
             page = page_of(q["page_id"], q["layout_id"])
-            yield from filter(None, (header_key(x, page, key) for x in _LINES.split(q["text"] or "") if len(x) <= 90 and x.strip()))
+            yield from filter(None, (header_key(split_number(x, page)[0], key) for x in _LINES.split(q["text"] or "") if len(x) <= 90 and x.strip()))
 
     def breaks(own: list[dict], doc: str | None, tables: dict) -> Iterator[str]:
         read = read_quotes(own, doc, tables["_head"])
