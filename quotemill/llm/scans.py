@@ -356,6 +356,7 @@ def _evidence(examples: DataFrame, quotes: str, name: str, most: int) -> tuple[D
         for text in [q["text"] or "" for q in own] + [r["clean"] for r in read_quotes(own, doc, tables["_head"])]:
             yield from (w for t in mended(text, tables["_keep"]).split() for w in words_in(t))
 
+    examples = examples.where(F.col("example_no").isNotNull()).select("example_no", name, quotes)  # others of its columns might be named as ours
     tokens = vocabulary(examples, quotes)
     compound = cut(compounds(tokens))
     examples, known["_head"] = _given(examples, repeated_lines(examples, quotes, name).withColumn("target", F.lit("h")), heads, "_head", quotes, name, most, dict(known))
@@ -476,7 +477,7 @@ def across(text: str, after: str) -> str | None:
 def find_noise(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", most: int = 2_000_000) -> DataFrame:
     """(`example_no`, `quote_id`, `noise`), one row per quote and kind of noise.
 
-    Null quotes and texts have none. Repeated lines, compounds and corrections go to the workers as tables if each has
+    Null quotes and texts have none, nor have rows without an `example_no`. Repeated lines, compounds and corrections go to the workers as tables if each has
     at most `most` entries; beyond that each example is given those of its own words by a join.
     """
     examples, _, known = _evidence(examples, quotes, name, most)

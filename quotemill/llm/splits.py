@@ -214,13 +214,14 @@ def split_examples(examples: DataFrame, proportions: Sequence[float] = PROPORTIO
     """(`example_no`, `component`, `split`) for every row of the examples.
 
     Rows of one `doc_name`, in whatever spelling, and rows of one `q_id` share a split. A row without a name goes
-    with its `q_id`; a row with neither stands alone.
+    with its `q_id`; a row with neither stands alone; those that have no
+    `example_no` either stand together.
     """
     parts = document_components(examples)
     spelled = parts.select(F.col("doc_name").alias("_name"), "component")
     placed = examples.select("example_no", "q_id", "doc_name", "domain", "question_type").join(spelled, F.col("doc_name") == F.col("_name"), "left").drop("_name")
     through = placed.where("component is not null and q_id is not null").groupBy("q_id").agg(F.min("component").alias("_by_q"))
-    alone = placed.where("component is null").drop("component").join(through, "q_id", "left").withColumn("component", F.coalesce("_by_q", F.concat(F.lit("q:"), "q_id"), F.concat(F.lit("row:"), "example_no"))).drop("_by_q")
+    alone = placed.where("component is null").drop("component").join(through, "q_id", "left").withColumn("component", F.coalesce("_by_q", F.concat(F.lit("q:"), "q_id"), F.concat(F.lit("row:"), F.coalesce(F.col("example_no").cast("string"), F.lit(""))))).drop("_by_q")
     placed = placed.where("component is not null").unionByName(alone)
     splits = assign_splits(placed, "component", [F.col("domain"), F.col("question_type")], proportions)
     return placed.select("example_no", "component").join(splits, "component").select("example_no", "component", "split")

@@ -350,3 +350,43 @@ def test_proportions_as_far_as_components_allow(spark):
     got = {r["component"]: r["split"] for r in splits.assign_splits(df, "component", [F.col("label")]).collect()}
     assert got["a"] == "train" and got["b"] != "train"
     assert splits.assign_splits(df.limit(0), "component", []).count() == 0
+
+
+BIG = 2**60 + 1
+
+
+def test_null_ids_and_clashing_columns(spark):
+    clash = ", ".join(f"{c} string" for c in ("e", "d", "q", "k", "w", "n", "v", "g", "id", "size", "shard", "piece", "start", "stop", "word", "level", "item_id", "_keep", "_fix", "_head", "split", "component", "label", "defect"))
+    width = len(clash.split(","))
+    extra = ("x",) * width
+    words = " ".join(_item(60))
+    docs = spark.createDataFrame([(BIG, words, *extra), (None, words, *extra), (BIG, words, *extra)], f"doc_id long, text string, {clash}")
+    items = spark.createDataFrame([(7, words, "x"), (None, words, "x")], "item_id long, text string, doc_id string")
+    assert {tuple(r) for r in leaks.find_leaks(docs, items).collect()} == {(BIG, 7)}
+    assert sorted((r["doc_id"] or 0) for r in packing.pack_documents(docs, 100).select("doc_id").distinct().collect()) == [0, BIG]
+    easy = spark.createDataFrame([(BIG, "The cat sat on the mat. " * 9, *extra), (None, "The cat sat on the mat. " * 9, *extra)], docs.schema)
+    assert {tuple(r) for r in reading.clear_cases(easy).collect()} == {(BIG, "easy")}
+    assert {(r["piece"], r["start"], r["stop"]) for r in splitting.split_oversized(docs.limit(1), limit=200, overlap=10).where("piece_no = 0").collect()} == {(words[: len(r["piece"])], 0, len(r["piece"])) for r in splitting.split_oversized(docs.limit(1), limit=200, overlap=10).where("piece_no = 0").collect()}
+    pairs_ = spark.createDataFrame([(None, None, None, None, *extra), (BIG, "Was it?", "", "4", *extra)], f"pred_id long, question string, pred_answer string, gold_answer string, {clash}")
+    assert {tuple(r) for r in pairs.flag_pairs(pairs_).collect()} == {(None, "empty"), (BIG, "empty")}
+    examples = spark.createDataFrame([(BIG, "a", "doc.pdf", None, None, [("t", "gar-\nden", 1, None), None], *extra), (None, None, None, None, None, None, *extra), (3, "a", "b.pdf", None, None, [], *extra)], f"example_no long, q_id string, doc_name string, domain string, question_type string, text_quotes array<struct<quote_id:string,text:string,page_id:long,layout_id:long>>, {clash}")
+    for most in (10, -1):
+        assert {tuple(r) for r in scans.find_noise(examples, most=most).collect()} == {(BIG, "t", "hyphen")}
+        assert {(r["example_no"], r["text"]) for r in scans.repair(examples, most=most).collect()} == {(BIG, "garden"), (3, "")}
+    assert {tuple(r) for r in splits.same_documents(examples).collect()} == {("b.pdf", "doc.pdf")}
+    assert splits.split_examples(examples).select("split").count() == 3
+    lines = spark.createDataFrame([(BIG, '{"timing":{"total_sec":1}}', *extra), (None, '{"timing":{"total_sec":1}}', *extra)], f"line_id long, line string, {clash}")
+    from quotemill.operators import nested
+
+    assert {tuple(r) for r in nested.child_index(lines).collect()} == {(BIG, 0, "timing", -1, -1, "total_sec")}
+
+
+def test_repetitive_texts(monkeypatch):
+    monkeypatch.setattr(leaks, "SHARED", 500)
+    rng = np.random.default_rng(11)
+    items = [" ".join(["a"] * 60), " ".join(["a", "b"] * 30), " ".join((["a"] * 6 + ["x"]) * 9), " ".join(_item(60))]
+    index = leaks.Items(list(enumerate(items)))
+    docs = [["a"] * 400, ["a", "b"] * 100, ["a"] * 19 + ["q"] + ["a"] * 19, (["a"] * 6 + ["y"]) * 40, (["a"] * 4 + ["y"]) * 40, items[3].split()[:30] + ["a"] * 300, list(rng.choice(["a", "b", "x"], 150))]
+    got = set(index.search([" ".join(d) for d in docs]))
+    want = {(d, k) for d, doc in enumerate(docs) for k, item in enumerate(items) for w in [item.split()] if _has_stretch(w, doc) or leaks.longest_run(np.array([hash(x) for x in w]), np.array([hash(x) for x in doc])) >= 20}
+    assert got == want and (3, 2) in got
