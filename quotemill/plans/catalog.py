@@ -395,7 +395,30 @@ def probe_outcomes(s, d):
     return out.select("pred_id", "pos", "o.applied", F.coalesce("o.reason", F.lit("-")).alias("reason"), F.coalesce("o.tokens_before", F.lit(-1).cast("long")).alias("tokens_before"), F.coalesce("o.tokens_after", F.lit(-1).cast("long")).alias("tokens_after"))
 
 
-@query()
+def _dec(x: str) -> str:
+    """A JSON value; a text that holds a JSON container is read, up to two levels deep."""
+    once = lambda y: f"CASE WHEN json_type({y}) = 'VARCHAR' AND json_valid({y} ->> '$') AND left(ltrim({y} ->> '$'), 1) IN ('{{', '[', '\"') THEN json({y} ->> '$') ELSE {y} END"
+    return f"list_transform(list_transform([{x}], lambda y1: {once('y1')}), lambda y2: {once('y2')})[1]"
+
+
+def _many(x: str) -> str:
+    return f"list_transform([{_dec(x)}], lambda z: CASE json_type(z) WHEN 'ARRAY' THEN from_json(z, '[\"JSON\"]') WHEN 'OBJECT' THEN [z] ELSE [] END)[1]"
+
+
+@query(f"""WITH j AS (SELECT line_id, json(line) AS j FROM prediction_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+w AS (SELECT line_id, CASE WHEN list_contains(json_keys(j), 'rows') AND json_type({_dec("j -> 'rows'")}) IN ('ARRAY', 'OBJECT') THEN {_many("j -> 'rows'")} ELSE [j] END AS r FROM j),
+u AS (SELECT line_id, generate_subscripts(r, 1) - 1 AS row_pos, unnest(r) AS r FROM w),
+r AS (SELECT line_id, row_pos, r FROM (SELECT line_id, row_pos, {_dec('r')} AS r FROM u) WHERE json_type(r) = 'OBJECT'),
+p AS (SELECT line_id, row_pos, r, {_many("r -> 'selected_img_quotes'")} AS i, list_transform({_many("r -> 'visual_pruning'")}, lambda e: {_dec('e')}) AS v FROM r),
+q AS (SELECT line_id, row_pos, v, generate_subscripts(i, 1) - 1 AS pos, unnest(i) AS i FROM p),
+i AS (SELECT line_id, row_pos, pos, i ->> 'quote_id' AS name, {_dec("i -> 'visual_pruning'")} AS own, list_filter(v, lambda e: json_type(e) = 'OBJECT' AND e ->> 'quote_id' = i ->> 'quote_id')[1] AS e FROM (SELECT line_id, row_pos, pos, v, {_dec('i')} AS i FROM q) WHERE json_type(i) = 'OBJECT'),
+k AS (SELECT line_id, row_pos, pos, name, CASE WHEN coalesce(json_type(own), 'NULL') = 'NULL' THEN {_dec("e -> 'visual_pruning'")} ELSE own END AS x FROM i),
+t AS (SELECT line_id, row_pos, pos, name, CASE WHEN json_type(x) = 'OBJECT' AND json_type({_dec("x -> 'keep_indices'")}) = 'ARRAY' THEN json_array_length({_dec("x -> 'keep_indices'")}) ELSE 0 END AS n FROM k),
+m AS (SELECT line_id, row_pos, 'timing' AS child, {_dec("r -> 'timing'")} AS o FROM r UNION ALL SELECT line_id, row_pos, 'metric', {_dec("r -> 'metrics'")} FROM r),
+n AS (SELECT line_id, row_pos, child, o, unnest(json_keys(o)) AS name FROM m WHERE json_type(o) = 'OBJECT')
+SELECT line_id, row_pos::BIGINT AS row_pos, 'image' AS child, pos::BIGINT AS pos, -1::BIGINT AS sub_pos, name FROM i
+UNION ALL SELECT line_id, row_pos::BIGINT, 'tile', pos::BIGINT, unnest(generate_series(0, n::BIGINT - 1))::BIGINT, name FROM t WHERE n > 0
+UNION ALL SELECT line_id, row_pos::BIGINT, child, -1::BIGINT, -1::BIGINT, name FROM n WHERE json_type(json_extract(o, '$."' || name || '"')) <> 'NULL'""")
 def p1_found(s, d):
     return nested.child_index(table(s, d, "prediction_lines"))
 
