@@ -12,6 +12,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def tile_scores(tiles: Column, query: Column) -> Column:
+    """The cosine between the query's vector and that of each tile of an image; NaN for a zero vector, null for an image without tiles."""
+    norm = lambda v: F.sqrt(dot(v, v))
+
+    def scored(w: Column) -> Column:  # the query and its length are bound, so that they are made once
+        return F.transform(tiles, lambda v: F.when(norm(v) * w["n"] > 0, dot(v, w["v"]) / (norm(v) * w["n"])).otherwise(float("nan")))
+
+    return F.transform(F.array(F.struct(query.alias("v"), norm(query).alias("n"))), scored)[0]
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int, key: str = "example", vector: str = "embedding", order: str = "pos", digits: int = 6) -> DataFrame:
     """The k candidates of each query with the largest inner product: an equi-join on the key and a partitioned top-k.
 

@@ -91,10 +91,12 @@ def topk_evidence(s, d):
 SELECT example, CASE WHEN gold = 0 THEN 0.0 ELSE hit::DOUBLE / gold END::DOUBLE AS recall, CASE WHEN gold = 0 THEN 0.0 ELSE kept::DOUBLE / gold END::DOUBLE AS recall_pruned FROM g""")
 def recall_at_k(s, d):
     e = table(s, d, "embeddings").withColumn("example", F.col("vec_id") % 20)
-    gold = e.where("vec_id >= 20").join(e.where("vec_id < 20").select("example", F.col("label").alias("q")), "example").groupBy("example").agg(F.collect_list(F.when(F.col("label") == F.col("q"), F.col("vec_id"))).alias("gold"))
-    got = _ranked(s, d, 4).groupBy("example").agg(F.transform(F.array_sort(F.collect_list(F.struct("rk", "vec_id"))), lambda x: x["vec_id"]).alias("ids"))
-    kept = pruning.keep_prefix(F.col("ids"), 0.5)
-    return gold.join(got, "example").select("example", text.retrieval_recall(F.col("ids"), F.col("gold")).alias("recall"), text.retrieval_recall(kept, F.col("gold")).alias("recall_pruned"))
+    asked = e.where("vec_id < 20").select("example", F.col("label").alias("q"))
+    right = F.col("label") == F.col("q")
+    gold = e.where("vec_id >= 20").join(asked, "example").groupBy("example").agg(F.count_if(right).alias("gold"))
+    got = _ranked(s, d, 4).join(asked, "example").groupBy("example").agg(F.count_if(right).alias("hit"), F.count_if(right & (F.col("rk") <= pruning.keep_count(F.lit(4), 0.5))).alias("kept"))
+    share = lambda c: F.when(F.col("gold") == 0, 0.0).otherwise(F.col(c).cast("double") / F.col("gold"))
+    return gold.join(got, "example").select("example", share("hit").alias("recall"), share("kept").alias("recall_pruned"))
 
 
 def _kept(n: str) -> str:

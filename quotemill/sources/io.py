@@ -180,7 +180,7 @@ def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def chunk_ttft(chunks: DataFrame, key: str, seq: str, at: str, text: str, started: str) -> DataFrame:
-    """From a chunk log: time to the first non-empty chunk, and the answer in order."""
+    """From a chunk log: time to the first non-empty chunk, and the answer in order. The chunks of one answer come together in one row."""
     return chunks.groupBy(key).agg(
         (F.min(F.when(F.col(text) != "", F.col(at))) - F.min(started)).alias("ttft"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda x: x[text]), "").alias("answer"),

@@ -162,3 +162,9 @@ def test_probe(spark):
             assert o["mapped_patch_indices"] == [0, 1, 7, 8, 16, 17, 23, 24] and o["pruned_shape"] == [1, 9, 8] and o["tokens_before"] == 49
     h = spark.sql("select array(array(0D), array(1D), array(2D)) h, array(1) m").select(request.prune_hidden(F.col("h"), F.col("m"))).first()[0]
     assert h == [[0.0], [2.0]]
+
+
+def test_tile_scores(spark):
+    df = spark.sql("select array(array(1D, 0D), array(1D, 1D), array(0D, 0D)) t, array(2D, 0D) q, cast(null as array<array<double>>) n")
+    r = df.select(retrieval.tile_scores(F.col("t"), F.col("q")).alias("s"), retrieval.tile_scores(F.col("n"), F.col("q")).alias("n")).first()
+    assert r["s"][0] == 1.0 and abs(r["s"][1] - 0.5**0.5) < 1e-12 and r["s"][2] != r["s"][2] and r["n"] is None
