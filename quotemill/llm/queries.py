@@ -43,6 +43,13 @@ def _p4_splits(s: SparkSession, d: str) -> DataFrame:
     return splits.split_examples(table(s, d, "examples"))
 
 
+def _p4_together(s: SparkSession, d: str) -> DataFrame:
+    """How many splits the rows of each question and of each document name are in."""
+    placed = splits.split_examples(table(s, d, "examples")).join(table(s, d, "examples").select("example_no", "q_id", "doc_name"), "example_no")
+    own = placed.select("split", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("q_id", "doc_name")])).alias("x")).where("x.key is not null")
+    return own.select("x.kind", "x.key", "split").distinct().groupBy("kind", "key").agg(F.count("*").alias("splits"))
+
+
 def _p5_found(s: SparkSession, d: str) -> DataFrame:
     return scans.find_noise(table(s, d, "examples"))
 
@@ -84,7 +91,7 @@ def _p9_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p2_rebuilt": _p2_rebuilt, "p3_percentiles": _p3_percentiles, "p3_combined": _p3_combined, "p3_error": _p3_error, "p4_found": _p4_found, "p4_splits": _p4_splits, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
+    "p2_found": _p2_found, "p2_pieces": _p2_pieces, "p2_rebuilt": _p2_rebuilt, "p3_percentiles": _p3_percentiles, "p3_combined": _p3_combined, "p3_error": _p3_error, "p4_found": _p4_found, "p4_splits": _p4_splits, "p4_together": _p4_together, "p5_found": _p5_found, "p5_repair": _p5_repair, "p6_found": _p6_found,
     "p7_found": _p7_found, "p7_fill": _p7_fill, "p7_room": _p7_room, "p8_found": _p8_found, "p9_found": _p9_found, "p9_levels": _p9_levels, "p9_agreement": _p9_agreement,
 }
 
@@ -113,6 +120,7 @@ FROM (SELECT example_no, unnest(text_quotes) AS q FROM examples) WHERE q IS NOT
     "p3_percentiles": _TIMES + """, r AS (SELECT *, row_number() OVER (PARTITION BY pruning_mode, day, metric ORDER BY v) AS rk, count(*) OVER (PARTITION BY pruning_mode, day, metric) AS n FROM w)
 SELECT pruning_mode, day, metric, n, p, v AS value FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p) WHERE rk = greatest(1, ceil(p * n - 1e-9))""",
     "p3_error": _TIMES + """ SELECT pruning_mode, metric, p, count(*) AS n, TRUE AS within FROM w, (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p) GROUP BY ALL""",
+    "p4_together": "SELECT 'q_id' AS kind, q_id AS key, 1::BIGINT AS splits FROM examples WHERE q_id IS NOT NULL GROUP BY q_id UNION ALL SELECT 'doc_name', doc_name, 1::BIGINT FROM examples WHERE doc_name IS NOT NULL GROUP BY doc_name",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 4096",
     "p7_room": "SELECT count(*) FILTER (octet_length(encode(text)) > 0) AS items, sum(octet_length(encode(text)))::BIGINT AS tokens, sum(ceil(octet_length(encode(text)) / 4096.0))::BIGINT AS pieces, TRUE AS fits, TRUE AS whole FROM documents",
 }
