@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quotemill.functions.text import WS
 from quotemill.llm.splits import document_key
 from quotemill.llm.textkit import VOTES
 from quotemill.session import cut
@@ -36,9 +35,9 @@ CONFUSIONS = (("1", "l"), ("1", "i"), ("0", "o"), ("5", "s"), ("6", "b"), ("6",
 HYPHENS = "-‐‑¬\xad"
 
 _LINES = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
-_BROKEN = re.compile(rf"(?<=\w)[{HYPHENS}][ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])\s*(?=\w)")
+_BROKEN = re.compile(rf"[{HYPHENS}](?<=\w.)[ \t]*(?:\r\n|[\n\r\v\f\x85\u2028\u2029])\s*(?=\w)")
 #: The same pattern for the JVM, which puts MARK in place of a break.
-_BROKEN_JVM = rf"(?<=[\p{{L}}\p{{N}}_])[{HYPHENS}][ \t]*(?:\r\n|[\n\r\x0B\f\x85\u2028\u2029])\s*(?=[\p{{L}}\p{{N}}_])"
+_BROKEN_JVM = rf"[{HYPHENS}](?<=[\p{{L}}\p{{N}}_].)[ \t]*(?:\r\n|[\n\r\x0B\f\x85\u2028\u2029])\s*(?=[\p{{L}}\p{{N}}_])"
 MARK = "\x01"
 _LEFT = re.compile(r"\w+$")
 _WORD = re.compile(r"\w+")
@@ -260,10 +259,13 @@ def _around(m: re.Match) -> str:
 
 
 def vocabulary(examples: DataFrame, quotes: str = "text_quotes") -> DataFrame:
-    """(`token`, `n`): every run without white space in all quotes, and how often it occurs; MARK stands for a hyphen at a line break."""
+    """(`token`, `n`): every run without white space in all quotes, and how often it occurs; MARK stands for a hyphen at a line break.
+
+    White space beyond ASCII may stand inside a token; whoever takes words from one must split it.
+    """
     texts = examples.where(F.col(quotes).isNotNull()).select(F.explode(F.col(f"{quotes}.text")).alias("t")).where("t is not null")
     marked = F.when(F.col("t").rlike(r"[\n\r\x0B\f\x85\u2028\u2029]"), F.regexp_replace("t", _BROKEN_JVM, MARK)).otherwise(F.col("t"))
-    tokens = texts.select(F.explode(F.split(marked, WS + "+")).alias("token"))
+    tokens = texts.select(F.explode(F.split(marked, r"\s+")).alias("token"))
     return cut(tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n")))
 
 
@@ -281,7 +283,8 @@ def compounds(tokens: DataFrame) -> DataFrame:
 
 def repeated_lines(examples: DataFrame, quotes: str = "text_quotes", name: str = "doc_name", least: int = 3) -> DataFrame:
     """(`word`): the `header_key` of every line that stands at the edge of quotes of at least `least` pages of a document."""
-    lines = F.split(F.col("q.text"), r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]")
+    text = F.col("q.text")
+    lines = F.when(text.rlike(r"[\r\x0B\f\x85\u2028\u2029]"), F.split(text, r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]")).otherwise(F.split(text, "\n"))
     edges = F.array_distinct(F.concat(F.slice(lines, 1, 2), F.slice(F.reverse(lines), 1, 2)))
     edges = F.filter(edges, lambda x: F.length(x).between(6, 90) & x.rlike(r"^\s*[\p{Lu}\p{N}]") & x.rlike(r"[\p{L}\p{N}]\s*$"))
     some = examples.select(F.col(name).alias("d"), F.explode(quotes).alias("q")).where("d is not null").select("d", F.col("q.page_id").alias("p"), F.col("q.layout_id").alias("l"), edges.alias("x")).where("size(x) > 0")
@@ -381,7 +384,7 @@ def word_counts(tokens: DataFrame, compound: DataFrame) -> DataFrame:
                 if keep is not None:
                     first, *rest = token.split(MARK)
                     token = first + "".join(("-" if i in keep else "") + part for i, part in enumerate(rest))
-                rows += [(w, n) for w in words_in(token)]
+                rows += [(w, n) for t in token.split() for w in words_in(t)]
             yield pd.DataFrame(rows, columns=["word", "n"])
 
     whole = tokens.where(~F.contains("token", F.lit(MARK))).withColumn("keep", F.lit(None).cast("array<int>"))
