@@ -407,7 +407,7 @@ def _many(x: str) -> str:
     return f"list_transform([{_dec(x)}], lambda z: CASE json_type(z) WHEN 'ARRAY' THEN from_json(z, '[\"JSON\"]') WHEN 'OBJECT' THEN [z] ELSE [] END)[1]"
 
 
-@query(f"""WITH j AS (SELECT line_id, json(line) AS j FROM prediction_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
+_LINES = f"""j AS (SELECT line_id, json(line) AS j FROM prediction_lines WHERE json_valid(line) AND json_type(line) = 'OBJECT'),
 w AS (SELECT line_id, CASE WHEN list_contains(json_keys(j), 'rows') AND json_type({_dec("j -> 'rows'")}) IN ('ARRAY', 'OBJECT') THEN {_many("j -> 'rows'")} ELSE [j] END AS r FROM j),
 u AS (SELECT line_id, generate_subscripts(r, 1) - 1 AS row_pos, unnest(r) AS r FROM w),
 r AS (SELECT line_id, row_pos, r FROM (SELECT line_id, row_pos, {_dec('r')} AS r FROM u) WHERE json_type(r) = 'OBJECT'),
@@ -417,7 +417,14 @@ i AS (SELECT line_id, row_pos, pos, i ->> 'quote_id' AS name, {_dec("i -> 'visua
 k AS (SELECT line_id, row_pos, pos, name, CASE WHEN coalesce(json_type(own), 'NULL') = 'NULL' THEN {_dec("e -> 'visual_pruning'")} ELSE own END AS x FROM i),
 t AS (SELECT line_id, row_pos, pos, name, CASE WHEN json_type(x) = 'OBJECT' AND json_type({_dec("x -> 'keep_indices'")}) = 'ARRAY' THEN json_array_length({_dec("x -> 'keep_indices'")}) ELSE 0 END AS n FROM k),
 m AS (SELECT line_id, row_pos, 'timing' AS child, {_dec("r -> 'timing'")} AS o FROM r UNION ALL SELECT line_id, row_pos, 'metric', {_dec("r -> 'metrics'")} FROM r),
-n AS (SELECT line_id, row_pos, child, o, unnest(json_keys(o)) AS name FROM m WHERE json_type(o) = 'OBJECT')
+n AS (SELECT line_id, row_pos, child, o, unnest(json_keys(o)) AS name FROM m WHERE json_type(o) = 'OBJECT')"""
+
+
+def _has(x: str, key: str) -> str:
+    return f"coalesce(json_type({x} -> '{key}'), 'NULL') <> 'NULL'"
+
+
+@query(f"""WITH {_LINES}
 SELECT line_id, row_pos::BIGINT AS row_pos, 'image' AS child, pos::BIGINT AS pos, -1::BIGINT AS sub_pos, name FROM i
 UNION ALL SELECT line_id, row_pos::BIGINT, 'tile', pos::BIGINT, unnest(generate_series(0, n::BIGINT - 1))::BIGINT, name FROM t WHERE n > 0
 UNION ALL SELECT line_id, row_pos::BIGINT, child, -1::BIGINT, -1::BIGINT, name FROM n WHERE json_type(json_extract(o, '$."' || name || '"')) <> 'NULL'""")
@@ -437,7 +444,28 @@ def p1_typed(s, d):
     return nested.flatten_predictions(table(s, d, "predictions"))
 
 
-@query()
+def _state(x: str) -> str:
+    """The state of a visual pruning; null for what is no object."""
+    kept = _dec(f"{x} -> 'keep_indices'")
+    return f"""CASE WHEN json_type({x}) IS DISTINCT FROM 'OBJECT' THEN NULL WHEN json_type({kept}) = 'ARRAY' THEN CASE WHEN {_has(x, 'rendered_image_path')} THEN 'pruning_rendered' WHEN {_has(x, 'hook_required')} THEN 'pruning_hooked' ELSE 'pruning_kept' END
+  WHEN {_has(x, 'skipped')} THEN 'pruning_skipped' WHEN {_has(x, 'mode')} AND {_has(x, 'tokens_before')} THEN 'pruning_bare' ELSE 'other' END"""
+
+
+@query(f"""WITH {_LINES},
+o AS (SELECT line_id, row_pos, {_dec("r -> 'timing'")} AS t, {_dec("r -> 'metrics'")} AS m, r FROM r),
+x AS (SELECT q.line_id, q.row_pos, q.pos, {_dec('q.i')} AS i FROM q),
+y AS (SELECT line_id, row_pos, pos, i, i ->> 'quote_id' AS name, {_dec("i -> 'visual_pruning'")} AS own FROM x WHERE json_type(i) = 'OBJECT'),
+e AS (SELECT line_id, row_pos, generate_subscripts(v, 1) - 1 AS nth, unnest(v) AS e FROM p),
+f AS (SELECT line_id, row_pos, nth, e ->> 'quote_id' AS name, {_dec("e -> 'visual_pruning'")} AS x FROM e WHERE json_type(e) = 'OBJECT'),
+g AS (SELECT line_id, row_pos, name, min(nth) AS nth FROM f GROUP BY ALL),
+h AS (SELECT y.line_id, y.row_pos, y.pos, CASE WHEN coalesce(json_type(y.own), 'NULL') = 'NULL' THEN g.nth END AS nth, CASE WHEN coalesce(json_type(y.own), 'NULL') = 'NULL' THEN f.x ELSE y.own END AS x FROM y LEFT JOIN g USING (line_id, row_pos, name) LEFT JOIN f ON f.line_id = y.line_id AND f.row_pos = y.row_pos AND f.nth = g.nth),
+z AS (SELECT line_id, row_pos, x, TRUE AS shown FROM h WHERE json_type(x) = 'OBJECT' UNION ALL SELECT line_id, row_pos, x, FALSE FROM f WHERE json_type(x) = 'OBJECT' AND (line_id, row_pos, nth) NOT IN (SELECT line_id, row_pos, nth FROM h WHERE json_type(x) = 'OBJECT' AND nth IS NOT NULL)),
+s AS (SELECT {_state('x')} AS variant, shown, CASE WHEN json_type({_dec("x -> 'keep_indices'")}) = 'ARRAY' THEN json_array_length({_dec("x -> 'keep_indices'")}) ELSE 0 END AS n FROM z),
+c AS (SELECT 'record' AS child, CASE WHEN NOT {_has('r', 'q_id')} THEN 'other' WHEN json_type(t) = 'OBJECT' AND {_has('t', 'total_sec')} AND json_type(m) = 'OBJECT' AND {_has('m', 'em')} THEN 'record_measured' ELSE 'record' END AS variant, 1 AS n FROM o
+  UNION ALL SELECT 'image', CASE WHEN {_has('i', 'quote_id')} AND {_has('i', 'layout_id')} AND {_state('own')} LIKE 'pruning%' THEN 'image_pruned' WHEN {_has('i', 'quote_id')} AND NOT {_has('i', 'visual_pruning')} THEN 'image_plain' ELSE 'other' END, 1 FROM y
+  UNION ALL SELECT 'pruning', variant, 1 FROM s UNION ALL SELECT 'tile', CASE WHEN variant IN ('pruning_rendered', 'pruning_hooked', 'pruning_kept') THEN variant ELSE 'other' END, n FROM s WHERE shown
+  UNION ALL SELECT child, CASE WHEN child = 'timing' AND {_has('o', 'total_sec')} THEN 'timing' WHEN child = 'metric' AND {_has('o', 'em')} THEN 'metrics' ELSE 'other' END, 1 FROM n WHERE json_type(json_extract(o, '$."' || name || '"')) <> 'NULL')
+SELECT child, variant, sum(n)::BIGINT AS n FROM c GROUP BY ALL HAVING sum(n) > 0""")
 def p1_variants(s, d):
     typed = nested.tables(nested.flatten_lines(table(s, d, "prediction_lines")))
     return nested.supertype(typed, "record", "image", "pruning", "tile", "timing", "metric").groupBy("child", "variant").agg(F.count("*").alias("n"))
