@@ -134,7 +134,7 @@ def _settle(live: DataFrame, stored: int, g: np.ndarray, n: np.ndarray, parts: S
         sent = spark.sparkContext.broadcast((state.g, state.lo, state.hi, state.pivot))
         scanned = live.mapInArrow(_counting(lambda sent=sent: Intervals(*sent.value)), "k long, below long, equal long, above long, low double, high double")
         middle = lambda v, w: F.percentile(F.when(F.col(w) > 0, F.col(v)), F.lit(0.5), F.col(w))
-        stats = scanned.groupBy("k").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), F.sum("above").alias("above"), middle("low", "below").alias("low"), middle("high", "above").alias("high")).toPandas().sort_values("k")
+        stats = scanned.groupBy("k").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), F.sum("above").alias("above"), middle("low", "below").alias("low"), middle("high", "above").alias("high")).toArrow().to_pandas().sort_values("k")
         assert len(stats) == len(state.g)
         below, equal, above = (stats[c].to_numpy() for c in ("below", "equal", "above"))
         side = np.where(r <= below[k], 0, np.where(r <= below[k] + equal[k], 1, 2))
@@ -156,9 +156,9 @@ def _settle(live: DataFrame, stored: int, g: np.ndarray, n: np.ndarray, parts: S
     sent = spark.sparkContext.broadcast((state.g, state.lo, state.hi, state.pivot))
     rows = live.mapInArrow(_inside(lambda sent=sent: Intervals(*sent.value), True), "k long, v double")
     few = rows.groupBy("k").agg(F.array_sort(F.collect_list("v")).alias("vs"))  # at most `finish` each
-    asked = spark.createDataFrame(pd.DataFrame({"g": kg, "rank": want, "k": k, "r": r.astype(np.int32)}), "g long, rank long, k long, r int")
+    asked = spark.createDataFrame(pa.table({"g": kg, "rank": want, "k": k.astype(np.int64), "r": r.astype(np.int32)}))
     out = asked.join(few, "k").select("g", "rank", F.element_at("vs", F.col("r")).alias("value"))
-    return out.unionByName(spark.createDataFrame(pd.concat(found), "g long, rank long, value double")) if found else out
+    return out.unionByName(spark.createDataFrame(pa.Table.from_pandas(pd.concat(found), preserve_index=False))) if found else out
 
 
 def select_ranks(values: DataFrame, parts: Sequence[float], groups: DataFrame | None = None, finish: int = FINISH, block: int = BLOCK, trace: list | None = None) -> DataFrame:
@@ -175,7 +175,7 @@ def select_ranks(values: DataFrame, parts: Sequence[float], groups: DataFrame |
     blocks = max(1, -(-number * len(parts) // block))
     for b in range(blocks):
         here = F.pmod(F.xxhash64("g"), F.lit(blocks)) == b
-        own = groups.where(here).toPandas().sort_values("g")
+        own = groups.where(here).toArrow().to_pandas().sort_values("g")
         part = live if blocks == 1 else live.where(here)
         some = _settle(part, int(own["n"].sum()), own["g"].to_numpy(), own["n"].to_numpy(), parts, finish, trace)
         out = some if out is None else out.unionByName(some)
