@@ -327,6 +327,10 @@ def sentence_ends(pairs: DataFrame, answer: str = "pred_answer") -> DataFrame:
         ends: Counter = Counter()
         total: Counter = Counter()
         for pdf in batches:
+            if len(total) > 500_000:  # no more of a partition's words than that in memory
+                yield pd.DataFrame([(w, ends[w], n) for w, n in total.items()], columns=["word", "ends", "n"])
+                ends.clear()
+                total.clear()
             for text in pdf["a"]:
                 text = _CITATION.sub("", text)
                 total.update(t.casefold() for t in _TOKEN.findall(text))
