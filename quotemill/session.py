@@ -34,10 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, *by: str) -> DataFrame:
-    """Write df as a table in the checkpoint folder, a folder per value of `by`, and go on from there: what is asked of one value reads no other."""
+    """Write df as a table in the checkpoint folder and go on from there. With `by` it has a folder per value, so that what is asked of one value reads no other."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
