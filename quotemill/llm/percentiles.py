@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.session import cut
+from quotemill.session import cut, stored
 
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 GRID = 200
@@ -206,7 +206,7 @@ def percentiles(timings: DataFrame, summaries: DataFrame, wanted: Sequence[float
     Without a grid (None) it has the percentiles only. `by` may leave out some of the three key columns.
     """
     times = request_times(timings, summaries)
-    values = cut(times.select(*by, F.xxhash64(*by).alias("g"), "v"))
+    values = stored(times.select(*by, F.xxhash64(*by).alias("g"), "v"))  # as columns, where the keys take next to no room
     groups = cut(values.groupBy("g", *by).agg(F.count("*").alias("n")))
     parts = shares(wanted, grid)
     found = select_ranks(values, parts, groups, **kw)
