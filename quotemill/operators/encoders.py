@@ -25,7 +25,8 @@ def letters(texts: Column) -> Column:
     def one(t: Column) -> Column:
         low = F.lower(F.coalesce(t, F.lit("")))
         counts = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in string.ascii_lowercase])
-        return F.transform(F.array(counts), lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300))))[0]
+        sized = F.transform(F.array(counts), lambda v: F.struct(v.alias("v"), F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-300)).alias("n")))
+        return F.transform(sized, lambda z: F.transform(z["v"], lambda x: x / z["n"]))[0]  # bound, so that the length is made once
 
     return F.transform(texts, one)
 
